@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_diff",)
+_MODULES = ("q_diff", "q_checks")
 
 
 def _merged(attribute: str) -> dict:

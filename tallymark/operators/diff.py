@@ -57,6 +57,15 @@ def _comparable(name: str, dtype: T.DataType, other: T.DataType, norm: Norm,
     return nz.normalized(c, dtype, norm)
 
 
+def key_columns(df: DataFrame, other: DataFrame, keys: Sequence[str],
+                norms: Mapping[str, Norm] | None = None) -> list[Column]:
+    """Keys of ``df`` as ``k0``.., in the form in which they meet the keys of ``other``."""
+    mine, theirs = ({f.name: f.dataType for f in x.schema} for x in (df, other))
+    return [_comparable(k, mine[k], theirs[k],
+                        _readable((norms or {}).get(k, Norm()), (mine[k], theirs[k])), True)
+            .alias(f"k{i}") for i, k in enumerate(keys)]
+
+
 def shown(c: Column, dtype: T.DataType | None = None) -> Column:
     """Text of a value for people, with NULL spelled out."""
     text = c.cast("string") if dtype is None else nz.as_text(c, dtype)
@@ -282,13 +291,12 @@ def keyed_diff(source: DataFrame, target: DataFrame, keys: Sequence[str],
     def settings(name: str) -> Norm:
         return _readable(norms.get(name, Norm()), (source_types[name], target_types[name]))
 
-    def side(df: DataFrame, mine: dict, other: dict) -> DataFrame:
+    def side(df: DataFrame, other: DataFrame, mine: dict, theirs: dict) -> DataFrame:
         return df.select(
-            *[_comparable(k, mine[k], other[k], settings(k), True).alias(f"k{i}")
-              for i, k in enumerate(keys)],
-            *[_comparable(c, mine[c], other[c], settings(c), False).alias(f"c{i}")
+            *key_columns(df, other, keys, norms),
+            *[_comparable(c, mine[c], theirs[c], settings(c), False).alias(f"c{i}")
               for i, c in enumerate(usable)])
 
     return KeyedDiff(tuple(keys), tuple(usable), tuple(settings(c) for c in usable),
-                     side(source, source_types, target_types),
-                     side(target, target_types, source_types))
+                     side(source, target, source_types, target_types),
+                     side(target, source, target_types, source_types))
