@@ -130,7 +130,7 @@ def sql_text(x: str) -> str:
 
 
 def sql_number(x: str, marks: str = ",$€£") -> str:
-    t = f"translate({sql_trim(x)}, '{marks}', '')"
+    t = sql_trim(f"translate({sql_trim(x)}, '{marks}', '')")
     pattern = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
     return f"(CASE WHEN regexp_full_match({t}, '{pattern}') THEN CAST({t} AS DOUBLE) END)"
 
