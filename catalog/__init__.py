@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_sources", "q_functions", "q_diff", "q_checks", "q_rules", "q_report", "q_history")
+_MODULES = ("q_sources", "q_functions", "q_diff", "q_checks", "q_rules", "q_report", "q_history",
+            "q_suite")
 
 
 def _merged(attribute: str) -> dict:

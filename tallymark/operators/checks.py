@@ -71,7 +71,7 @@ def group_count_totals(source: DataFrame, target: DataFrame,
                        group_by: Sequence[str]) -> DataFrame:
     return (group_counts(source, target, group_by)
             .agg(F.count(F.lit(1)).alias("groups"),
-                 F.count_if("difference <> 0").alias("mismatched_groups"))
+                 F.count_if(F.col("difference") != 0).alias("mismatched_groups"))
             .withColumn("status", verdict(F.col("mismatched_groups") == 0)))
 
 

@@ -146,12 +146,14 @@ class KeyedDiff:
     def _differs(self, i: int) -> Column:
         return ~nz.same(F.col(f"s.c{i}"), F.col(f"t.c{i}"), self.norms[i])
 
-    def totals(self, columns: Sequence[str] | None = None) -> DataFrame:
+    def totals(self, subset: Sequence[str] = ()) -> DataFrame:
         """One row with every count; ``m0``.. are mismatches per column.
 
-        ``columns`` narrows the comparison without another pass over the data.
+        For a ``subset`` of the columns the row also has ``subset_mismatches`` and
+        ``subset_rows``, so that a check on fewer columns needs no pass of its own.
         """
-        chosen = [i for i, c in enumerate(self.columns) if columns is None or c in columns]
+        chosen = range(len(self.columns))
+        part = [i for i in chosen if self.columns[i] in subset]
         one_row = self.pairs.select(
             "ns", "nt", self.matched.alias("matched"),
             *[(self.matched & self._differs(i)).alias(f"d{i}") for i in chosen])
@@ -165,21 +167,24 @@ class KeyedDiff:
             F.count_if(self.only_target).alias("target_only"),
             F.count_if(F.col("ns") > 1).alias("source_dup_keys"),
             F.count_if(F.col("nt") > 1).alias("target_dup_keys"),
+            F.count_if(_any([F.col(f"d{i}") for i in part])).alias("subset_rows"),
             *[F.count_if(f"d{i}").alias(f"m{i}") for i in chosen])
-        cells = reduce(Column.__add__, [F.col(f"m{i}") for i in chosen], F.lit(0).cast("bigint"))
-        return (counts.withColumn("value_mismatches", cells)
-                .withColumn("values_matched", F.col("matched_keys") - F.col("mismatched_rows")))
 
-    def is_clean(self) -> Column:
+        def cells(ids) -> Column:
+            return reduce(Column.__add__, [F.col(f"m{i}") for i in ids], F.lit(0).cast("bigint"))
+        return counts.withColumns({
+            "value_mismatches": cells(chosen), "subset_mismatches": cells(part),
+            "values_matched": F.col("matched_keys") - F.col("mismatched_rows")})
+
+    def is_clean(self, mismatches: str = "value_mismatches") -> Column:
         """Verdict over ``totals``: nothing missing, extra, different or repeated."""
         return reduce(Column.__and__, (F.col(c) == 0 for c in (
-            "source_only", "target_only", "value_mismatches",
-            "source_dup_keys", "target_dup_keys")))
+            "source_only", "target_only", mismatches, "source_dup_keys", "target_dup_keys")))
 
-    def summary(self, columns: Sequence[str] | None = None) -> DataFrame:
+    def summary(self) -> DataFrame:
         """The metrics of the comparison and its verdict, one row."""
-        return self.totals(columns).select(*METRICS, "mismatched_rows",
-                                           self.is_clean().alias("is_clean"))
+        return self.totals().select(*METRICS, "mismatched_rows",
+                                    self.is_clean().alias("is_clean"))
 
     def column_counts(self) -> DataFrame:
         """Mismatches per compared column, columns without any left out."""

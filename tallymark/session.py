@@ -12,7 +12,8 @@ _FOLDER_KEY = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "tallymark", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session with adaptive execution on; skewed joins are split at run time."""
     builder = (SparkSession.builder.appName(app)
                .config("spark.sql.adaptive.enabled", "true")
@@ -23,6 +24,8 @@ def build_session(app: str = "tallymark", master: str | None = None,
                .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

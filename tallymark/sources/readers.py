@@ -6,6 +6,7 @@ so they reach parquet scans and JDBC queries through the optimizer.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,6 +26,16 @@ MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+# Charset names the CSV source takes; others need spark.sql.legacy.javaCharsets.
+CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+
+
+def charset(encoding: str) -> str:
+    """The name Spark knows an encoding by, whatever alias it is given under."""
+    known = {codecs.lookup(name).name: name for name in CHARSETS}
+    return known.get(codecs.lookup(encoding).name, encoding)
+
+
 class DatasetError(ValueError):
     """A dataset cannot be read as declared."""
 
@@ -94,8 +105,8 @@ def read_delimited(spark: SparkSession, pattern: str, sep: str | None = None,
 
     def reader(name: str):
         mark = sep or ("\t" if name.lower().endswith(".tsv") else ",")
-        return (spark.read.option("header", True).option("sep", mark).option("encoding", encoding)
-                .option("escape", '"').option("multiLine", multiline)
+        return (spark.read.option("header", True).option("sep", mark)
+                .option("encoding", charset(encoding)).option("escape", '"').option("multiLine", multiline)
                 .option("inferSchema", not dtype_str))
 
     groups: dict[tuple, list[str]] = {}
