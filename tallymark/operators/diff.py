@@ -297,9 +297,13 @@ def keyed_diff(source: DataFrame, target: DataFrame, keys: Sequence[str],
         return _readable(norms.get(name, Norm()), (source_types[name], target_types[name]))
 
     def side(df: DataFrame, other: DataFrame, mine: dict, theirs: dict) -> DataFrame:
-        return df.select(
+        first = df.select(
             *key_columns(df, other, keys, norms),
-            *[_comparable(c, mine[c], theirs[c], settings(c), False).alias(f"c{i}")
+            *[nz.prepared(nz.col(c), mine[c], settings(c)).alias(f"c{i}")
+              for i, c in enumerate(usable)])
+        return first.select(
+            *[F.col(f"k{i}") for i in range(len(keys))],
+            *[_comparable(f"c{i}", mine[c], theirs[c], settings(c), False).alias(f"c{i}")
               for i, c in enumerate(usable)])
 
     return KeyedDiff(tuple(keys), tuple(usable), tuple(settings(c) for c in usable),
