@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog import seeds
 from catalog.seeds import table
-from tallymark.plans.suite import Suite, frames_connection
+from tallymark.plans.suite import Suite
+from tallymark.sources.connections import frames_connection
 from tallymark.spec import mapping_from_dict, tab_from_dict
 
 QUERIES, SQL = {}, {}

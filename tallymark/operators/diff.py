@@ -45,30 +45,39 @@ def _readable(norm: Norm, dtypes: Sequence[T.DataType]) -> Norm:
     return norm
 
 
-def _comparable(name: str, dtype: T.DataType, other: T.DataType, norm: Norm,
-                is_key: bool) -> Column:
-    c = nz.col(name)
+def _comparable(c: Column, dtype: T.DataType, other: T.DataType, norm: Norm) -> Column:
+    """Comparable form of a prepared value; integers on both sides stay exact beyond 2^53."""
     if norm.kind == "numeric" and norm.decimal_scale is None and norm.round_to is None:
-        sides = (dtype, other)
-        if all(isinstance(d, T.IntegralType) for d in sides):
-            return c.cast("bigint")  # exact beyond 2^53
-        if is_key and not any(isinstance(d, (T.FloatType, T.DoubleType)) for d in sides):
-            return nz.exact_number(c, dtype, _KEY_SCALE)
-    return nz.normalized(c, dtype, norm)
+        if isinstance(dtype, T.IntegralType) and isinstance(other, T.IntegralType):
+            return c.cast("bigint")
+    return nz.finished(c, dtype, norm)
+
+
+def _comparable_key(name: str, dtype: T.DataType, other: T.DataType, norm: Norm) -> Column:
+    """Comparable form of a key: numbers that are no floats on either side meet as decimals."""
+    floats = any(isinstance(d, (T.FloatType, T.DoubleType)) for d in (dtype, other))
+    whole = all(isinstance(d, T.IntegralType) for d in (dtype, other))
+    if norm.kind == "numeric" and norm.decimal_scale is None and norm.round_to is None:
+        if not floats and not whole:
+            norm = replace(norm, decimal_scale=_KEY_SCALE)
+    c = nz.col(name)
+    return _comparable(nz.prepared(c, dtype, norm), dtype, other, norm)
 
 
 def key_columns(df: DataFrame, other: DataFrame, keys: Sequence[str],
                 norms: Mapping[str, Norm] | None = None) -> list[Column]:
     """Keys of ``df`` as ``k0``.., in the form in which they meet the keys of ``other``."""
     mine, theirs = ({f.name: f.dataType for f in x.schema} for x in (df, other))
-    return [_comparable(k, mine[k], theirs[k],
-                        _readable((norms or {}).get(k, Norm()), (mine[k], theirs[k])), True)
+    return [_comparable_key(k, mine[k], theirs[k],
+                            _readable((norms or {}).get(k, Norm()), (mine[k], theirs[k])))
             .alias(f"k{i}") for i, k in enumerate(keys)]
 
 
 def shown(c: Column, dtype: T.DataType | None = None) -> Column:
     """Text of a value for people, with NULL spelled out."""
     text = c.cast("string") if dtype is None else nz.as_text(c, dtype)
+    if isinstance(dtype, T.DecimalType) and dtype.scale:
+        text = F.regexp_replace(text, r"\.?0+$", "")
     return F.coalesce(text, F.lit(NULL_SHOWN))
 
 
@@ -303,7 +312,7 @@ def keyed_diff(source: DataFrame, target: DataFrame, keys: Sequence[str],
               for i, c in enumerate(usable)])
         return first.select(
             *[F.col(f"k{i}") for i in range(len(keys))],
-            *[_comparable(f"c{i}", mine[c], theirs[c], settings(c), False).alias(f"c{i}")
+            *[_comparable(F.col(f"c{i}"), mine[c], theirs[c], settings(c)).alias(f"c{i}")
               for i, c in enumerate(usable)])
 
     return KeyedDiff(tuple(keys), tuple(usable), tuple(settings(c) for c in usable),

@@ -21,7 +21,8 @@ def build_session(app: str = "tallymark", master: str | None = None,
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false"))
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     if master:
         builder = builder.master(master)
     if driver_memory:

@@ -20,6 +20,14 @@ CHECK_SCHEMA = T.StructType([
     T.StructField("metrics", T.MapType(T.StringType(), T.StringType())),
     T.StructField("rule_id", T.StringType()), T.StructField("use_case", T.StringType())])
 
+RUN_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("suite", T.StringType()),
+    T.StructField("started_at", T.StringType()), T.StructField("finished_at", T.StringType()),
+    T.StructField("expected", T.StringType()),
+    T.StructField("categories", T.ArrayType(T.StringType())),
+    T.StructField("tables", T.ArrayType(T.StringType())),
+    T.StructField("warnings", T.ArrayType(T.StringType()))])
+
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("suite", T.StringType()),
     T.StructField("started_at", T.StringType()), T.StructField("finished_at", T.StringType()),
@@ -57,6 +65,16 @@ def write_checks(checks: DataFrame, folder: str, format: str = "json") -> None:
     checks.write.mode("append").partitionBy("run_id").format(format).save(folder)
 
 
+def write_runs(runs: DataFrame, folder: str) -> None:
+    """Rows on runs, added to the history."""
+    runs.write.mode("append").json(folder)
+
+
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return (spark.read.schema(RUN_SCHEMA).option("mode", "PERMISSIVE").json(folder)
+            .where("run_id IS NOT NULL"))
+
+
 def read_checks(spark: SparkSession, folder: str, format: str = "json") -> DataFrame:
     """The check history; rows that cannot be read are skipped."""
     reader = spark.read.schema(CHECK_SCHEMA).option("basePath", folder)

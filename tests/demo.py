@@ -1,6 +1,7 @@
 """A small pair of tables with seeded defects; results are worked out by hand."""
 
-from tallymark.plans.suite import Suite, frames_connection
+from tallymark.plans.suite import Suite
+from tallymark.sources.connections import frames_connection
 from tallymark.spec import RunOptions, mapping_from_dict
 
 DEAL_COLUMNS = ("DEAL_ID FUND_CODE COMPANY PUBLIC_PRIVATE_FLAG ADJ_CODE LINE_TYPE FMV "

@@ -1,6 +1,7 @@
 import pytest
 
 from tallymark.sources import readers, sinks
+from tallymark.sources.connections import connect, jdbc_settings
 from tallymark.sources.readers import Dataset, DatasetError
 
 
@@ -51,3 +52,23 @@ def test_preview(spark):
     got = sinks.preview(spark.range(7), 5).collect()
     assert len(got) == 5 and (got[0].preview_total, got[0].preview_truncated) == (7, True)
     assert sinks.preview(spark.range(3), 5).first().preview_truncated is False
+
+
+def test_connections(spark, tmp_path):
+    assert jdbc_settings({"type": "sqlserver", "host": "h", "port": 1433, "database": "d", "user": "u",
+                          "password": "p"}) == (
+        "jdbc:sqlserver://h:1433;databaseName=d;encrypt=true;trustServerCertificate=true",
+        {"user": "u", "password": "p"})
+    assert jdbc_settings({"type": "snowflake", "account": "a", "user": "u", "database": "d",
+                          "schema": "s"})[0] == "jdbc:snowflake://a.snowflakecomputing.com/?db=d&schema=s"
+    assert jdbc_settings({"type": "sqlite", "path": "f.db"}) == ("jdbc:sqlite:f.db", {})
+    assert jdbc_settings({"type": "access", "path": "f.accdb", "password": "x"}) == (
+        "jdbc:ucanaccess://f.accdb", {"password": "x"})
+    for bad in ({"type": "nope"}, {"type": "sqlserver", "host": "h"}, {"type": "snowflake"}):
+        with pytest.raises(DatasetError):
+            connect(spark, bad)
+    (tmp_path / "a.csv").write_text("id\n1\n2\n")
+    read = connect(spark, {"type": "files", "base_dir": str(tmp_path), "max_rows": 1})
+    with pytest.raises(DatasetError):
+        read(Dataset(table="a.csv"))
+    assert connect(spark, {"type": "Files", "base_dir": str(tmp_path)})(Dataset(table="a.csv")).count() == 2

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import history
-from tallymark.plans.suite import CATEGORIES, Suite, frames_connection
+from tallymark.plans.suite import CATEGORIES, Suite, suite_from_config
 from tallymark.sources import sinks
+from tallymark.sources.connections import frames_connection
 from tallymark.spec import (RunOptions, as_list, mapping_from_dict, tab_from_dict,
                             tabs_from_report)
 
@@ -52,7 +53,9 @@ def test_golden_statuses(run):
 
 def test_history_and_evidence_are_written(spark, run):
     checks, folder = run
-    stored = sinks.read_checks(spark, f"{folder}/history")
+    stored = sinks.read_checks(spark, f"{folder}/history/checks")
+    record = sinks.read_runs(spark, f"{folder}/history/runs").first()
+    assert record.run_id == "run_1" and len(record.categories) == 16
     assert stored.count() == len(checks) + 1  # both report categories skip under one name
     verdict = history.run_verdicts(stored).first()
     assert (verdict.exit_code, verdict.passed, verdict.suite) == (1, False, "demo")
@@ -177,3 +180,37 @@ def test_wide_tables_are_cut_into_batches(spark):
     got = checks.null_counts(wide, wide.columns).collect()
     assert len(got) == 450 and sum(r.null_count for r in got) == sum(1 + i % 3 for i in range(450))
     assert counters.MAX_COUNTERS == 200
+
+
+def test_suite_from_files(spark, tmp_path):
+    import json
+    for side, rows in (("old", demo.SOURCE_DEALS), ("new", [r[:9] for r in demo.TARGET_DEALS])):
+        (tmp_path / side).mkdir()
+        lines = [",".join(demo.DEAL_COLUMNS)] + [
+            ",".join(f'"{v}"' for v in r) for r in rows]
+        for part, chunk in enumerate((lines[:3], [lines[0], *lines[3:]])):
+            (tmp_path / side / f"deals_{part}.csv").write_text("\n".join(chunk) + "\n")
+    mapping = copy.deepcopy(demo.MAPPING)
+    mapping["ref_integrity"] = []
+    (tmp_path / "mapping.json").write_text(json.dumps(mapping))
+    (tmp_path / "report.json").write_text(json.dumps({
+        "id": "r", "name": "Deals", "actual_connection": "new", "expected_connection": "old",
+        "tabs": [{"name": "All", "actual": {"path": "deals_*.csv"},
+                  "expected": {"path": "deals_*.csv"}, "key_columns": ["DEAL_ID"],
+                  "compare_columns": ["COMPANY"], "measures": [{"column": "FMV"}]}]}))
+    config = {"name": "files", "mapping": str(tmp_path / "mapping.json"),
+              "source": "old", "target": "new", "tests": ["row_count", "reconciliation"],
+              "reports": [str(tmp_path / "report.json")], "expected": "fail",
+              "tables": [{"name": "DEAL", "options": {
+                  "source_options": {"path": "deals_*.csv"},
+                  "target_options": {"path": "deals_*.csv"}}}]}
+    connections = {n: {"type": "files", "base_dir": str(tmp_path / n)} for n in ("old", "new")}
+    got = by_name(suite_from_config(spark, config, connections).run())
+    assert got["Reconciliation [DEAL]"].metrics["value_mismatches"] == "3"
+    assert got["Report data [Deals · All]"].status == "PASS"
+    assert got["Report measures [Deals · All]"].status == "PASS"
+    assert {r.expected for r in got.values()} == {"fail"}
+    for broken in ({**config, "tests": ["nope"]}, {**config, "target": None},
+                   {**config, "target": "gone"}, {"target": "new"}):
+        with pytest.raises(ValueError):
+            suite_from_config(spark, broken, connections)
