@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import seeds
 from tallymark.functions.normalize import Norm
-from tallymark.operators.diff import METRICS, keyed_diff
+from tallymark.operators.diff import keyed_diff
 
 QUERIES, SQL = {}, {}
 
@@ -107,7 +107,12 @@ SQL["diff_column_counts"] = seeds.ORDERS_DIFF_SQL + " UNION ALL ".join(
     for i, c in enumerate(seeds.ORDER_COLUMNS))
 
 # The limit is the feature: a stable preview of the first findings.
-QUERIES["diff_sample"] = lambda s, d: orders_diff(s, d).sample()
+QUERIES["diff_sample"] = lambda s, d: orders_diff(s, d).sample().select(
+    "o_orderkey", "finding", "column")
+SQL["diff_sample"] = seeds.ORDERS_DIFF_SQL + ", f AS (" + " UNION ALL ".join(
+    f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'mismatch' AS finding, '{c}' AS \"column\" "
+    f"FROM d WHERE d{i}" for i, c in enumerate(seeds.ORDER_COLUMNS)) + """)
+SELECT * FROM f ORDER BY o_orderkey, "column" LIMIT 100"""
 
 QUERIES["reconciliation"] = lambda s, d: lineitem_diff(s, d).summary()
 _LINE_TOTALS = f"""WITH {seeds.LINEITEM_PAIR_SQL},
@@ -132,4 +137,3 @@ c AS (SELECT CAST(sum(ns) AS BIGINT) AS source_total, CAST(sum(nt) AS BIGINT) AS
     count(*) FILTER (ns = 1 AND nt = 1 AND (sq <> tq OR sf <> tf)) AS mismatched_rows FROM g)
 SELECT *, (value_mismatches + source_only + target_only + source_dup_keys + target_dup_keys) = 0
   AS is_clean FROM c"""
-assert METRICS

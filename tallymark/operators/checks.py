@@ -148,11 +148,12 @@ def type_conformance(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
 def type_samples(df: DataFrame, kinds: Mapping[str, str], top: int = TYPE_SAMPLES) -> DataFrame:
     """The first bad values per column. Only ``top`` rows per column leave a map task."""
     types = types_of(df)
+    tests = {c: unfit(nz.col(c), types[c], k) for c, k in kinds.items()}
     cells = F.array(*[F.struct(F.lit(c).alias("column"),
                                nz.as_text(nz.col(c), types[c]).alias("value"),
-                               unfit(nz.col(c), types[c], k).alias("bad"))
-                      for c, k in kinds.items()])
-    bad = df.select(F.inline(F.filter(cells, lambda x: x["bad"])))
+                               test.alias("bad")) for c, test in tests.items()])
+    bad = (df.where(reduce(Column.__or__, tests.values()))
+           .select(F.inline(F.filter(cells, lambda x: x["bad"]))))
     values = bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     return values.withColumn("place", place).where(F.col("place") <= top)
@@ -284,14 +285,11 @@ def fk_summary(child: DataFrame, parent: DataFrame, child_columns: Sequence[str]
 
 # --- pairs -------------------------------------------------------------------------------
 
-def _zero_cells(df: DataFrame, columns: Sequence[str], zero: bool) -> Column:
+def _zero_tests(df: DataFrame, columns: Sequence[str], zero: bool) -> dict[str, Column]:
     types = types_of(df)
-    def hit(c: str) -> Column:
-        if zero:
-            return F.coalesce(nz.number(nz.col(c), types[c]) == 0, F.lit(False))
-        return nz.nullish(nz.col(c), types[c])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), hit(c).alias("hit")) for c in columns])
-    return F.filter(cells, lambda x: x["hit"])
+    if zero:
+        return {c: F.coalesce(nz.number(nz.col(c), types[c]) == 0, F.lit(False)) for c in columns}
+    return {c: nz.nullish(nz.col(c), types[c]) for c in columns}
 
 
 def _zero_null_sides(source, target, keys, columns, norms) -> tuple[DataFrame, DataFrame]:
@@ -300,8 +298,12 @@ def _zero_null_sides(source, target, keys, columns, norms) -> tuple[DataFrame, D
     need_columns(target, keys, "key column")
     shared = [c for c in columns if c in source.columns and c in target.columns]
     def cells(df: DataFrame, other: DataFrame, zero: bool) -> DataFrame:
-        return df.select(*key_columns(df, other, keys, norms),
-                         F.inline(_zero_cells(df, shared, zero))).drop("hit")
+        tests = _zero_tests(df, shared, zero)
+        found = F.array(*[F.struct(F.lit(c).alias("column"), test.alias("hit"))
+                          for c, test in tests.items()])
+        return df.where(reduce(Column.__or__, tests.values(), F.lit(False))).select(
+            *key_columns(df, other, keys, norms),
+            F.inline(F.filter(found, lambda x: x["hit"]))).drop("hit")
     return cells(source, target, False), cells(target, source, True)
 
 

@@ -229,6 +229,9 @@ class KeyedDiff:
                   for c, name in zip(self._value_ids, self.columns)])
         return labelled(self.source, "source").unionByName(labelled(self.target, "target"))
 
+    def _mismatched(self) -> Column:
+        return self.matched & _any([self._differs(i) for i in range(len(self.columns))])
+
     def _cell_array(self) -> Column:
         types = self.source.schema
         cells = [F.struct(F.lit("mismatch").alias("finding"), F.lit(name).alias("column"),
@@ -244,7 +247,7 @@ class KeyedDiff:
             return (self.pairs.where(F.lit(False)).select(
                 *self._shown_keys(), F.lit("").alias("column"),
                 F.lit("").alias("source_value"), F.lit("").alias("target_value")))
-        return (self.pairs.where(self.matched)
+        return (self.pairs.where(self._mismatched())
                 .select(*self._shown_keys(), F.inline(self._cell_array()))
                 .drop("bad", "finding"))
 
@@ -267,7 +270,8 @@ class KeyedDiff:
             .when(self.only_target, one_sided("target_only", "t"))
         if self.columns:
             found = found.when(self.matched, self._cell_array())
-        return self.pairs.select(*self._shown_keys(), F.inline(found)).drop("bad")
+        some = self.only_source | self.only_target | self._mismatched()
+        return self.pairs.where(some).select(*self._shown_keys(), F.inline(found)).drop("bad")
 
     def sample(self, rows: int = SAMPLE_ROWS) -> DataFrame:
         """First findings by key, of the most telling sort only: cells, else missing, else extra."""

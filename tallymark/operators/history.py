@@ -59,13 +59,12 @@ def status_counts(checks: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
 
 def run_verdicts(checks: DataFrame) -> DataFrame:
     """Pass flag and exit code per run. A run expected to fail passes by finding a FAIL."""
-    per_run = checks.groupBy(*RUN).agg(
-        *_status_counts(), F.first("expected", ignorenulls=True).alias("expected"))
-    negative = F.lower(F.trim(F.coalesce("expected", F.lit("pass")))).isin(*NEGATIVE_WORDS)
+    negative = F.coalesce(F.lower(F.trim("expected")).isin(*NEGATIVE_WORDS), F.lit(False))
+    per_run = checks.groupBy(*RUN).agg(*_status_counts(), F.max(negative).alias("negative"))
     failed, errored = F.col("FAIL") > 0, F.col("ERROR") > 0
-    code = (F.when(errored, 2).when(negative, F.when(failed, 0).otherwise(1))
+    code = (F.when(errored, 2).when(F.col("negative"), F.when(failed, 0).otherwise(1))
             .when(failed, 1).otherwise(0))
-    return per_run.select(*RUN, negative.alias("negative"), (code == 0).alias("passed"),
+    return per_run.select(*RUN, "negative", (code == 0).alias("passed"),
                           code.alias("exit_code"), *STATUSES, "TOTAL")
 
 
@@ -100,10 +99,10 @@ def numbered_runs(runs: DataFrame) -> DataFrame:
             .drop("__suite", "__hour", "__shift", "__place"))
 
 
-def _numbered(checks: DataFrame) -> DataFrame:
+def _numbered(runs: DataFrame) -> DataFrame:
     """One row per run with its number and ``suite_key``, a suite name that is never NULL."""
-    return (numbered_runs(checks.select(*RUN).distinct())
-            .withColumn("suite_key", F.coalesce("suite", F.lit(""))))
+    return numbered_runs(runs.select(*RUN)).select(
+        "run_id", F.coalesce("suite", F.lit("")).alias("suite_key"), "run_no")
 
 
 def pass_rate_deltas(checks: DataFrame) -> DataFrame:
@@ -120,23 +119,26 @@ def pass_rate_deltas(checks: DataFrame) -> DataFrame:
 
 # --- failures over time --------------------------------------------------------------------
 
-def failures(checks: DataFrame, depth: int = STREAK_DEPTH) -> DataFrame:
+def failures(checks: DataFrame, runs: DataFrame | None = None,
+             depth: int = STREAK_DEPTH) -> DataFrame:
     """Every failing check with ``recurring`` (it failed in the run before) and ``streak``.
 
+    ``runs`` is the small table of runs where one is stored, else they are found in the checks.
+
     The streak counts this run and the unbroken failures before it, ``depth`` runs back at
     most; a run of the suite without the check breaks it. Long histories are cut in chunks of
     run numbers that overlap by ``depth`` runs, so each chunk alone gives exact streaks.
     """
-    runs = _numbered(checks).select("run_id", "suite_key", "run_no")
-    numbered = checks.join(runs, "run_id").withColumns(
+    order = _numbered(checks.select(*RUN).distinct() if runs is None else runs)
+    numbered = checks.join(order, "run_id").withColumns(
         {"check_id": check_id(), "label": check_label()})
     # A check listed twice in a run counts by its last entry.
     last = numbered.groupBy("suite_key", "check_id", "run_no").agg(
-        F.max_by("status", "position").alias("status"))
+        F.max_by(failing(), "position").alias("failed"))
     chunk = F.floor(F.col("run_no") / _CHUNK)
     overlaps = F.when(F.col("run_no") % _CHUNK >= _CHUNK - depth, chunk + 1)
     copies = F.filter(F.array(chunk, overlaps), lambda x: x.isNotNull())
-    spread = last.where(failing()).select(
+    spread = last.where("failed").select(
         "suite_key", "check_id", "run_no", chunk.alias("home"), F.explode(copies).alias("chunk"))
     part = ["suite_key", "check_id", "chunk"]
     island = F.col("run_no") - F.row_number().over(Window.partitionBy(*part).orderBy("run_no"))
@@ -198,9 +200,9 @@ def latest_per_suite(runs: DataFrame) -> DataFrame:
 def manifest(runs: DataFrame, newest: int = MANIFEST_RUNS) -> DataFrame:
     """The newest runs, with the number of all runs and of those shown."""
     total = runs.agg(F.count(F.lit(1))).scalar()
-    shown = runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(newest)
-    return shown.withColumn("runs_total", total).withColumn(
-        "runs_shown", F.least(F.col("runs_total"), F.lit(newest)))
+    return (runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc())
+            .select("*", total.alias("runs_total"),
+                    F.least(total, F.lit(newest)).alias("runs_shown")).limit(newest))
 
 
 def triage(checks: DataFrame, statuses: Sequence[str] | None = None,
