@@ -126,7 +126,7 @@ def sql_nullish(x: str) -> str:
 
 
 def sql_text(x: str) -> str:
-    return f"(CASE WHEN NOT {sql_nullish(x)} THEN lower({sql_trim(x)}) END)"
+    return f"(CASE WHEN NOT {sql_nullish(x)} THEN replace(lower({sql_trim(x)}), 'ß', 'ss') END)"
 
 
 def sql_number(x: str, marks: str = ",$€£") -> str:

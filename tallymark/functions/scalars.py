@@ -52,11 +52,11 @@ def plain_number(c: Column, dtype: T.DataType) -> Column:
 
 
 def folded(c: Column, dtype: T.DataType) -> Column:
-    return F.lower(nz.stripped(nz.as_text(c, dtype)))
+    return nz.folded(nz.stripped(nz.as_text(c, dtype)))
 
 
 def folded_value(value) -> str:
-    return str(value).strip().lower()
+    return str(value).strip().casefold()
 
 
 def loosely_equals(c: Column, dtype: T.DataType, expected) -> Column:

@@ -187,8 +187,9 @@ def value_presence(df: DataFrame, column: str, expected: Sequence = (),
     The column is reduced to its distinct values before the lists are looked up.
     """
     need_columns(df, [column])
-    present = (df.select(nz.as_text(nz.col(column), types_of(df)[column]).alias("value"))
-               .where("value IS NOT NULL").distinct())
+    c, dtype = nz.col(column), types_of(df)[column]
+    filled = c.isNotNull() if isinstance(dtype, T.StringType) else ~nz.nullish(c, dtype)
+    present = df.where(filled).select(nz.as_text(c, dtype).alias("value")).distinct()
     wanted = [("expected", str(v)) for v in expected] + [("forbidden", str(v)) for v in forbidden]
     counters = {f"v{i}": F.max(F.col("value") == F.lit(v)) for i, (_, v) in enumerate(wanted)}
 

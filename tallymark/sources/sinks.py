@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,12 @@ RUN_SCHEMA = T.StructType([
     T.StructField("tables", T.ArrayType(T.StringType())),
     T.StructField("warnings", T.ArrayType(T.StringType()))])
 
+EVIDENCE_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("suite", T.StringType()),
+    T.StructField("category", T.StringType()), T.StructField("check_name", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("target_table", T.StringType()),
+    T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())])
+
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("suite", T.StringType()),
     T.StructField("started_at", T.StringType()), T.StructField("finished_at", T.StringType()),
@@ -50,14 +56,29 @@ def write_offenders(offenders: DataFrame, folder: str, format: str = "parquet")
     offenders.write.mode("append").partitionBy("check_name").format(format).save(folder)
 
 
-def write_evidence(frames: Mapping[str, DataFrame], folder: str, format: str = "csv") -> dict[str, str]:
-    """Offender frames of different shapes, each below its own name; returns the paths."""
-    paths = {}
+def write_evidence(frames: Mapping[str, DataFrame], folder: str,
+                   format: str = "csv") -> dict[str, tuple[str, int]]:
+    """Offender frames of different shapes, each below its own name.
+
+    Returns path and number of rows by name; rows are counted while they are written.
+    """
+    written = {}
     for name, df in frames.items():
-        paths[name] = f"{folder}/check_name={name}"
-        writer = df.write.mode("overwrite").format(format)
-        (writer.option("header", True) if format == "csv" else writer).save(paths[name])
-    return paths
+        path, seen = f"{folder}/check_name={name}", Observation()
+        writer = (df.observe(seen, F.count(F.lit(1)).alias("rows"))
+                  .write.mode("overwrite").format(format))
+        (writer.option("header", True) if format == "csv" else writer).save(path)
+        written[name] = (path, seen.get["rows"])
+    return written
+
+
+def write_listing(listing: DataFrame, folder: str) -> None:
+    """Rows on evidence files, added to the history."""
+    listing.write.mode("append").json(folder)
+
+
+def read_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EVIDENCE_SCHEMA).json(folder).where("path IS NOT NULL")
 
 
 def write_checks(checks: DataFrame, folder: str, format: str = "json") -> None:

@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__)), "too
 from compare_oracle import TABLES, rows_of  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+# Pair-wise joins and row-wise Python have no place in any plan.
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
@@ -26,6 +28,8 @@ def con():
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
     frame = QUERIES[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in FORBIDDEN if node in plan]
     got = frame.collect()
     if name not in SQL:
         assert got

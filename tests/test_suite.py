@@ -57,6 +57,10 @@ def test_history_and_evidence_are_written(spark, run):
     record = sinks.read_runs(spark, f"{folder}/history/runs").first()
     assert record.run_id == "run_1" and len(record.categories) == 16
     assert stored.count() == len(checks) + 1  # both report categories skip under one name
+    listed = {r.check_name: r.rows for r in
+              sinks.read_listing(spark, f"{folder}/history/evidence").collect()}
+    assert listed["Reconciliation [DEAL]"] == 3 and listed["[BR002] conditional"] == 1
+    assert len(listed) == 5  # the schema warning has no rows of its own
     verdict = history.run_verdicts(stored).first()
     assert (verdict.exit_code, verdict.passed, verdict.suite) == (1, False, "demo")
     found = spark.read.option("header", True).csv(
