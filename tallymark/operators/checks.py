@@ -228,10 +228,17 @@ def dedup_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows_with_repeated_keys(df, keys)
 
 
-def _key_text(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    types = types_of(df)
-    return [nz.stripped(nz.as_text(nz.col(c), types[c])).alias(f"k{i}")
-            for i, c in enumerate(columns)]
+def _fk_keys(df: DataFrame, other: DataFrame, columns: Sequence[str],
+             others: Sequence[str]) -> list[Column]:
+    """Key columns as ``k0``.. in the form in which they meet the other side: stripped text,
+    case kept; integers on both sides have the same text exactly when they are equal."""
+    mine, theirs = types_of(df), types_of(other)
+    keys = []
+    for i, (c, o) in enumerate(zip(columns, others)):
+        whole = all(isinstance(d, T.IntegralType) for d in (mine[c], theirs[o]))
+        key = nz.col(c).cast("bigint") if whole else nz.stripped(nz.as_text(nz.col(c), mine[c]))
+        keys.append(key.alias(f"k{i}"))
+    return keys
 
 
 def _any_nullish(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -258,8 +265,10 @@ def fk_orphans(child: DataFrame, parent: DataFrame, child_columns: Sequence[str]
     keys = _check_fk(child, parent, child_columns, parent_columns)
     marks = [f"__fk_{k}" for k in keys]
     named = child.where(~_any_nullish(child, child_columns)).select(
-        "*", *[c.alias(m) for c, m in zip(_key_text(child, child_columns), marks)])
-    parents = parent.select(*[c.alias(m) for c, m in zip(_key_text(parent, parent_columns), marks)])
+        "*", *[c.alias(m) for c, m in
+               zip(_fk_keys(child, parent, child_columns, parent_columns), marks)])
+    parents = parent.select(*[c.alias(m) for c, m in
+                              zip(_fk_keys(parent, child, parent_columns, child_columns), marks)])
     return named.join(parents, marks, "left_anti").drop(*marks)
 
 
@@ -269,9 +278,9 @@ def fk_summary(child: DataFrame, parent: DataFrame, child_columns: Sequence[str]
     key costs no more than any other."""
     keys = _check_fk(child, parent, child_columns, parent_columns)
     one = child.select(_any_nullish(child, child_columns).alias("empty"), F.lit(True).alias("c"),
-                       *_key_text(child, child_columns))
+                       *_fk_keys(child, parent, child_columns, parent_columns))
     two = parent.select(F.lit(False).alias("empty"), F.lit(False).alias("c"),
-                        *_key_text(parent, parent_columns))
+                        *_fk_keys(parent, child, parent_columns, child_columns))
     per_key = one.unionByName(two).groupBy("empty", *keys).agg(
         F.count_if("c").alias("children"), F.count_if(~F.col("c")).alias("parents"))
     orphan = ~F.col("empty") & (F.col("parents") == 0)
