@@ -86,3 +86,66 @@ UNION ALL SELECT 'B2', CASE WHEN nulls > 0 THEN 'FAIL' ELSE 'PASS' END, CAST(row
 UNION ALL SELECT 'B3', CASE WHEN r.rows > 0 THEN 'FAIL' ELSE 'PASS' END,
   CAST(n.rows AS VARCHAR), CAST(r.rows AS VARCHAR) FROM n, r
 UNION ALL SELECT 'B4', 'ERROR', NULL, NULL"""
+
+# Verdicts of the whole run. What depends on the data is tested here by its own SQL: each
+# check names the flag that makes it fail.
+_FLAGS = f"""
+  (SELECT count(*) FROM src) <> (SELECT count(*) FROM tgt) AS rows,
+  EXISTS (SELECT o_orderpriority, count(*) FROM src GROUP BY 1
+    EXCEPT SELECT o_orderpriority, count(*) FROM tgt GROUP BY 1) AS groups,
+  EXISTS (SELECT 1 FROM tgt WHERE o_totalprice IS NULL OR o_totalprice < 1) AS low,
+  EXISTS (SELECT 1 FROM tgt WHERE {seeds.sql_nullish('o_orderpriority')}) AS blank,
+  EXISTS (SELECT 1 FROM tgt GROUP BY o_orderkey HAVING count(*) > 1) AS repeated,
+  (SELECT avg((o_orderstatus = 'F')::INT) FROM tgt) >= 0.5 AS defaulted,
+  EXISTS (SELECT 1 FROM src JOIN tgt USING (o_orderkey)
+    WHERE src.o_totalprice IS NULL AND tgt.o_totalprice = 0) AS zeroed,
+  EXISTS (SELECT 1 FROM src JOIN tgt USING (o_orderkey)
+    WHERE {seeds.sql_number('src.o_totalprice')} IS DISTINCT FROM tgt.o_totalprice) AS changed,
+  EXISTS (SELECT 1 FROM src JOIN tgt USING (o_orderkey) WHERE src.o_custkey <> tgt.o_custkey) AS moved,
+  EXISTS (SELECT 1 FROM tgt ANTI JOIN customer ON o_custkey = c_custkey) AS orphans,
+  (SELECT abs(sum(o_totalprice) - (SELECT sum({seeds.sql_number('o_totalprice')}) FROM src))
+    / (SELECT sum({seeds.sql_number('o_totalprice')}) FROM src) FROM tgt) > 0.0001 AS drifted"""
+
+_VERDICTS = [  # category, name, table, flag, status with the flag, status without
+    ("row_count", "Row count [orders_dim]", "orders_dim", "rows", "FAIL", "PASS"),
+    ("row_count", "Row count by ['o_orderpriority'] [orders_dim]", "orders_dim", "groups", "FAIL", "PASS"),
+    ("row_count", "Row count [customer_dim]", "customer_dim", "false", "FAIL", "PASS"),
+    ("schema", "Schema [orders_dim]", "orders_dim", "false", "FAIL", "PASS"),
+    ("schema", "Schema [customer_dim]", "customer_dim", "true", "WARN", "PASS"),
+    ("datatype", "Data types [orders_dim]", "orders_dim", "false", "FAIL", "PASS"),
+    ("datatype", "Data types [customer_dim]", "customer_dim", "true", "SKIPPED", ""),
+    ("completeness", "Mandatory completeness [orders_dim]", "orders_dim", "false", "FAIL", "PASS"),
+    ("completeness", "Mandatory completeness [customer_dim]", "customer_dim", "true", "SKIPPED", ""),
+    ("completeness", "Completeness of o_orderpriority [orders_dim]", "orders_dim", "false", "FAIL", "PASS"),
+    ("business_rules", "[B1] range", "orders_dim", "low", "FAIL", "PASS"),
+    ("business_rules", "[B2] not_null", "orders_dim", "blank", "FAIL", "PASS"),
+    ("business_rules", "[B3] unique", "orders_dim", "repeated", "FAIL", "PASS"),
+    ("business_rules", "[B4] not_null", "orders_dim", "true", "ERROR", ""),
+    ("referential_integrity", "FK orders_dim.['o_custkey'] -> customer_dim.['c_custkey']", "orders_dim",
+     "orphans", "FAIL", "PASS"),
+    ("transformation", "Transformation [orders_dim]", "orders_dim", "changed OR rows OR repeated", "FAIL", "PASS"),
+    ("transformation", "Transformation [customer_dim]", "customer_dim", "true", "SKIPPED", ""),
+    ("deduplication", "Deduplication [orders_dim]", "orders_dim", "repeated", "FAIL", "PASS"),
+    ("deduplication", "Deduplication [customer_dim]", "customer_dim", "false", "FAIL", "PASS"),
+    ("null_handling", "Default/null handling [orders_dim]", "orders_dim", "defaulted", "WARN", "PASS"),
+    ("null_handling", "Default/null handling [customer_dim]", "customer_dim", "true", "SKIPPED", ""),
+    ("null_handling", "Zero-vs-null [orders_dim]", "orders_dim", "zeroed", "FAIL", "PASS"),
+    ("reconciliation", "Reconciliation [orders_dim]", "orders_dim", "changed OR moved", "FAIL", "PASS"),
+    ("reconciliation", "Aggregate variance [orders_dim]", "orders_dim", "drifted", "FAIL", "PASS"),
+    ("reconciliation", "Reconciliation [customer_dim]", "customer_dim", "false", "FAIL", "PASS"),
+    ("reconciliation", "Aggregate variance [customer_dim]", "customer_dim", "true", "SKIPPED", ""),
+    ("lineage", "Lineage [orders_dim]", "orders_dim", "blank", "FAIL", "PASS"),
+    ("lineage", "Lineage [customer_dim]", "customer_dim", "true", "SKIPPED", ""),
+    ("report", "Report structure [Orders]", None, "rows", "WARN", "PASS"),
+    ("report", "Report data [Orders]", None, "moved OR rows OR repeated", "FAIL", "PASS"),
+]
+
+
+def _text(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+SQL["suite_run"] = f"WITH {seeds.ORDERS_PAIR_SQL}, f AS (SELECT {_FLAGS})" + " UNION ALL ".join(
+    f"\nSELECT {_text(c)} AS category, {_text(n)} AS name, CAST({_text(t)} AS VARCHAR) AS target_table, "
+    f"CASE WHEN {flag} THEN '{yes}' ELSE '{no}' END AS status FROM f"
+    for c, n, t, flag, yes, no in _VERDICTS)
