@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,30 +161,56 @@ class KeyedDiff:
         For a ``subset`` of the columns the row also has ``subset_mismatches`` and
         ``subset_rows``, so that a check on fewer columns needs no pass of its own.
         """
-        chosen = range(len(self.columns))
-        part = [i for i in chosen if self.columns[i] in subset]
-        one_row = self.pairs.select(
-            "ns", "nt", self.matched.alias("matched"),
-            *[(self.matched & self._differs(i)).alias(f"d{i}") for i in chosen])
-        counts = one_row.agg(
+        one_row = self.pairs.select("ns", "nt", self.matched.alias("matched"), *self._marks())
+        return self._with_sums(one_row.agg(*self._counts(subset)), subset)
+
+    def _marks(self) -> list[Column]:
+        return [(self.matched & self._differs(i)).alias(f"d{i}") for i in range(len(self.columns))]
+
+    def _subset(self, subset: Sequence[str]) -> list[int]:
+        return [i for i, c in enumerate(self.columns) if c in subset]
+
+    def _counts(self, subset: Sequence[str]) -> list[Column]:
+        """Aggregates over ``pairs`` with its marks ``matched`` and ``d0``.."""
+        every = range(len(self.columns))
+        return [
             F.coalesce(F.sum("ns"), F.lit(0)).alias("source_total"),
             F.coalesce(F.sum("nt"), F.lit(0)).alias("target_total"),
             F.count_if("matched").alias("matched_keys"),
-            F.count_if(F.col("matched") & _any([F.col(f"d{i}") for i in chosen]))
-            .alias("mismatched_rows"),
+            F.count_if(_any([F.col(f"d{i}") for i in every])).alias("mismatched_rows"),
             F.count_if(self.only_source).alias("source_only"),
             F.count_if(self.only_target).alias("target_only"),
             F.count_if(F.col("ns") > 1).alias("source_dup_keys"),
             F.count_if(F.col("nt") > 1).alias("target_dup_keys"),
-            F.count_if(_any([F.col(f"d{i}") for i in part])).alias("subset_rows"),
-            *[F.count_if(f"d{i}").alias(f"m{i}") for i in chosen])
+            F.count_if(_any([F.col(f"d{i}") for i in self._subset(subset)])).alias("subset_rows"),
+            *[F.count_if(f"d{i}").alias(f"m{i}") for i in every]]
 
+    def _with_sums(self, counts: DataFrame, subset: Sequence[str]) -> DataFrame:
         def cells(ids) -> Column:
             return reduce(Column.__add__, [F.col(f"m{i}") for i in ids], F.lit(0).cast("bigint"))
         return counts.withColumns({
-            "value_mismatches": cells(chosen), "subset_mismatches": cells(part),
+            "value_mismatches": cells(range(len(self.columns))),
+            "subset_mismatches": cells(self._subset(subset)),
             "values_matched": F.col("matched_keys") - F.col("mismatched_rows")})
 
+    def write_findings(self, folder: str, subset: Sequence[str] = (),
+                       format: str = "csv") -> DataFrame:
+        """Writes :meth:`findings` and returns :meth:`totals`, both from one pass.
+
+        The counts are observed on the way to the sink, in the stage that writes, so both
+        sides are read and shuffled once for verdict and evidence together.
+        """
+        seen = Observation()
+        watched = (self.pairs.withColumn("matched", self.matched)
+                   .withColumns({f"d{i}": mark for i, mark in enumerate(self._marks())})
+                   .observe(seen, *self._counts(subset)))
+        writer = self._findings(watched).write.mode("overwrite").format(format)
+        (writer.option("header", True) if format == "csv" else writer).save(folder)
+        counts = seen.get
+        schema = T.StructType([T.StructField(c, T.LongType()) for c in counts])
+        local = self.source.sparkSession.createDataFrame([tuple(counts.values())], schema)
+        return self._with_sums(local, subset)
+
     def is_clean(self, mismatches: str = "value_mismatches") -> Column:
         """Verdict over ``totals``: nothing missing, extra, different or repeated."""
         return reduce(Column.__and__, (F.col(c) == 0 for c in (
@@ -256,6 +282,9 @@ class KeyedDiff:
 
         A one-sided row carries its values as JSON in the column of its side.
         """
+        return self._findings(self.pairs)
+
+    def _findings(self, pairs: DataFrame) -> DataFrame:
         def one_sided(finding: str, side: str) -> Column:
             row = F.to_json(F.struct(*[F.col(f"{side}.c{i}").alias(name)
                                        for i, name in enumerate(self.columns)])) \
@@ -271,7 +300,7 @@ class KeyedDiff:
         if self.columns:
             found = found.when(self.matched, self._cell_array())
         some = self.only_source | self.only_target | self._mismatched()
-        return self.pairs.where(some).select(*self._shown_keys(), F.inline(found)).drop("bad")
+        return pairs.where(some).select(*self._shown_keys(), F.inline(found)).drop("bad")
 
     def sample(self, rows: int = SAMPLE_ROWS) -> DataFrame:
         """First findings by key, of the most telling sort only: cells, else missing, else extra."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallymark.operators.counters import Tally, tally_rows
+from tallymark.operators.diff import KeyedDiff
 
 COLUMNS = ("category", "name", "target_table", "status", "severity", "message", "metrics",
            "rule_id", "use_case")
@@ -66,12 +67,16 @@ class Planned:
 
     ``alone`` gives the rows of one head by itself, for when the piece as a whole fails.
     ``offenders`` builds the offending rows of a head, to be written if the check fails.
+    ``rows_and_evidence`` writes the offending rows to a folder and gives the check rows, from
+    one pass over the data; ``duplicates`` are the rows it left out for their repeated keys.
     """
 
     heads: tuple[Head, ...]
     rows: DataFrame
     alone: Mapping[str, Callable[[], DataFrame]]
     offenders: Mapping[str, Callable[[], DataFrame]]
+    rows_and_evidence: Callable[[str], DataFrame] | None = None
+    duplicates: Callable[[], DataFrame] | None = None
 
 
 def single(head: Head, frame: DataFrame, status, message, metrics=None, severity=None,
@@ -83,13 +88,18 @@ def single(head: Head, frame: DataFrame, status, message, metrics=None, severity
                    {head.name: offenders} if offenders else {})
 
 
-def several(frame: DataFrame, checks: Mapping[Head, Column],
-            offenders: Mapping[str, Callable[[], DataFrame]] | None = None) -> Planned:
-    """Several checks read off one one-row frame."""
-    def rows(structs) -> DataFrame:
-        return frame.select(F.inline(F.array(*structs)))
-    return Planned(tuple(checks), rows(checks.values()),
-                   {h.name: (lambda c=c: rows([c])) for h, c in checks.items()}, offenders or {})
+def compared(diff: KeyedDiff, checks: Mapping[Head, Column],
+             subset: Sequence[str] = ()) -> Planned:
+    """Checks read off the totals of one comparison."""
+    def rows(totals: DataFrame, structs) -> DataFrame:
+        return totals.select(F.inline(F.array(*structs)))
+    totals = diff.totals(subset)
+    return Planned(
+        tuple(checks), rows(totals, checks.values()),
+        {h.name: (lambda c=c: rows(totals, [c])) for h, c in checks.items()},
+        {h.name: diff.findings for h in checks},
+        lambda folder: rows(diff.write_findings(folder, subset), checks.values()),
+        diff.duplicates)
 
 
 def fused(df: DataFrame, tallies: Mapping[Head, Tally],

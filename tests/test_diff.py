@@ -110,6 +110,17 @@ def test_counts_add_up_with_hot_and_null_keys(spark, seed):
     assert rows_with_repeated_keys(frames[0], ["k"]).count() == repeated
 
 
+def test_findings_and_totals_in_one_pass(spark, tmp_path):
+    tgt = text(spark, [("1", "7", "Private"), ("2", "2000", "x"), ("4", "3000", "y"), ("4", "1", "y")],
+               "id amt flag")
+    diff = keyed_diff(source(spark), tgt, ["id"], ["amt", "flag"], AMOUNT)
+    once = diff.write_findings(str(tmp_path / "found"), ["amt"]).first().asDict()
+    assert once == diff.totals(["amt"]).first().asDict()
+    stored = spark.read.option("header", True).csv(str(tmp_path / "found"))
+    assert sorted(map(tuple, stored.collect()), key=repr) == sorted(
+        map(tuple, diff.findings().collect()), key=repr)
+
+
 def test_subset_of_columns_from_the_same_totals(spark):
     tgt = text(spark, [("1", "7", "Private"), ("2", "2000", "x"), ("3", "3000", "Public")], "id amt flag")
     got = keyed_diff(source(spark), tgt, ["id"], ["amt", "flag"], AMOUNT).totals(["amt"]).first()

@@ -218,3 +218,16 @@ def test_suite_from_files(spark, tmp_path):
                    {**config, "target": "gone"}, {"target": "new"}):
         with pytest.raises(ValueError):
             suite_from_config(spark, broken, connections)
+
+
+def test_evidence_of_repeated_keys(spark, tmp_path):
+    source, target = demo.frames(spark)
+    target["FUND"] = target["FUND"].union(target["FUND"].where("FUND_CODE = 'F1'"))
+    suite = Suite(spark, mapping_from_dict(demo.MAPPING), frames_connection(target),
+                  frames_connection(source))
+    got = by_name(suite.run(["reconciliation"], ["FUND"], history=f"{tmp_path}/h",
+                            evidence=f"{tmp_path}/e", run_id="r"))
+    assert got["Reconciliation [FUND]"].metrics["target_dup_keys"] == "1"
+    listed = sinks.read_listing(spark, f"{tmp_path}/h/evidence").collect()
+    assert {(r.path.split("=")[-1], r.rows) for r in listed} == {
+        ("Reconciliation_FUND", 1), ("Reconciliation_FUND_duplicate_keys", 2)}
