@@ -17,8 +17,8 @@ from catalog import all_queries  # noqa: E402
 from tallymark.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "reconciliation", "diff_summary", "diff_cells", "diff_duplicate_keys", "norm_numeric",
-    "norm_string", "row_count_by_group", "datatype_conformance", "completeness_values",
+    "norm_numeric", "norm_string", "row_count_by_group", "reconciliation", "diff_summary",
+    "diff_cells", "diff_duplicate_keys", "datatype_conformance", "completeness_values",
     "fk_orphans", "fk_summary", "dedup_summary", "dedup_rows", "zero_vs_null",
     "aggregate_variance", "historical_immutability", "incremental_delta", "rule_summary",
     "rule_unique", "rule_split_distinct", "report_data", "report_measures",

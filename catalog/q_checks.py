@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from catalog import seeds
 from catalog.seeds import every, sql_nullish, sql_number, sql_trim, table
-from tallymark.functions.normalize import Norm
 from tallymark.operators import checks
+from tallymark.spec import mapping_from_dict
 
 QUERIES, SQL = {}, {}
 
 PAIR = f"WITH {seeds.ORDERS_PAIR_SQL}"
-PRICE = {"o_totalprice": Norm(kind="numeric")}
 
 
 def query(name: str, sql: str | None = None):
@@ -162,10 +161,10 @@ def fk_summary(s, d):
                              ["o_orderkey", "o_orderstatus"])
 
 
-def changed(s, d):
-    """The orders pair with one column renamed at the source, as a mapping would have it."""
-    source = seeds.orders_source(s, d).withColumnRenamed("o_orderpriority", "prio")
-    return source.withColumnsRenamed({"prio": "o_orderpriority"}), seeds.orders_target(s, d)
+RENAMED = mapping_from_dict({"tables": [{
+    "target_table": "orders_dim", "source_object": "orders_feed", "key_columns": ["o_orderkey"],
+    "columns": [{"target_column": "o_orderstatus", "source_column": "o_orderstatus"},
+                {"target_column": "o_orderpriority", "source_column": "prio"}]}]}).tables["orders_dim"]
 
 
 def _metrics(diff, status):
@@ -187,8 +186,10 @@ SELECT *, CASE WHEN {status} THEN 'PASS' ELSE 'FAIL' END AS status FROM c"""
 @query("transformation_diff", seeds.ORDERS_DIFF_SQL + _metric_sql(
     "d4::INT", "value_mismatches + source_only + target_only + source_dup_keys + target_dup_keys = 0"))
 def transformation_diff(s, d):
-    source, target = changed(s, d)
-    diff = checks.keyed_diff(source, target, ["o_orderkey"], ["o_orderpriority"], PRICE)
+    feed = seeds.orders_source(s, d).withColumnRenamed("o_orderpriority", "prio")
+    source = feed.withColumnsRenamed(RENAMED.source_to_target())
+    diff = checks.keyed_diff(source, seeds.orders_target(s, d), RENAMED.key_columns,
+                             RENAMED.transformed_columns(), RENAMED.norms())
     return _metrics(diff, checks.verdict(diff.is_clean()))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tallymark.functions import normalize as nz
 from tallymark.functions.normalize import Norm
 from tallymark.operators.counters import Tally, tally_rows
-from tallymark.operators.diff import (KeyedDiff, key_columns, keyed_diff, null_safe,
+from tallymark.operators.diff import (Keep, KeyedDiff, key_columns, keyed_diff, null_safe,
                                       repeated_keys, rows_with_repeated_keys)
 
 VARIANCE_THRESHOLD = 0.0001
@@ -222,10 +222,10 @@ def dedup_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return repeated_keys(df, keys)
 
 
-def dedup_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def dedup_rows(df: DataFrame, keys: Sequence[str], keep: Keep | None = None) -> DataFrame:
     """Every row with a repeated key."""
     need_columns(df, keys, "key column")
-    return rows_with_repeated_keys(df, keys)
+    return rows_with_repeated_keys(df, keys, keep)
 
 
 def _fk_keys(df: DataFrame, other: DataFrame, columns: Sequence[str],
@@ -256,11 +256,12 @@ def _check_fk(child: DataFrame, parent: DataFrame, child_columns: Sequence[str],
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, child_columns: Sequence[str],
-               parent_columns: Sequence[str]) -> DataFrame:
+               parent_columns: Sequence[str], keep: Keep | None = None) -> DataFrame:
     """Child rows whose full key has no parent; keys with a null part are no orphans.
 
-    A left anti join needs no distinct parents. Adaptive execution broadcasts a parent side
-    that proves small and splits the partitions of a hot child key.
+    By itself one lazy anti join, which needs no distinct parents and whose hot keys adaptive
+    execution splits. With ``keep`` the orphan keys are settled first, from folded keys only;
+    where they are few, the child rows are then filtered without a shuffle.
     """
     keys = _check_fk(child, parent, child_columns, parent_columns)
     marks = [f"__fk_{k}" for k in keys]
@@ -269,7 +270,10 @@ def fk_orphans(child: DataFrame, parent: DataFrame, child_columns: Sequence[str]
                zip(_fk_keys(child, parent, child_columns, parent_columns), marks)])
     parents = parent.select(*[c.alias(m) for c, m in
                               zip(_fk_keys(parent, child, parent_columns, child_columns), marks)])
-    return named.join(parents, marks, "left_anti").drop(*marks)
+    if keep is None:
+        return named.join(parents, marks, "left_anti").drop(*marks)
+    orphans = keep(named.select(*marks).distinct().join(parents, marks, "left_anti"))
+    return named.join(orphans, marks, "left_semi").drop(*marks)
 
 
 def fk_summary(child: DataFrame, parent: DataFrame, child_columns: Sequence[str],

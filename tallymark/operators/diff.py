@@ -11,7 +11,7 @@ counted there as repeated, and its single row on the other side counts as one-si
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
@@ -31,6 +31,10 @@ METRICS = ("source_total", "target_total", "matched_keys", "values_matched",
            "source_dup_keys", "target_dup_keys")
 
 
+# Settles an intermediate result on storage and reads it back.
+Keep = Callable[[DataFrame], DataFrame]
+
+
 def _any(conditions: Sequence[Column]) -> Column:
     return reduce(Column.__or__, conditions, F.lit(False))
 
@@ -93,15 +97,18 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             .where("copies > 1"))
 
 
-def rows_with_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rows_with_repeated_keys(df: DataFrame, keys: Sequence[str],
+                            keep: Keep | None = None) -> DataFrame:
     """All rows whose key occurs more than once (every copy is kept, NULL keys are equal).
 
-    The keys are counted first; the rows are then only filtered by a semi join. Adaptive
-    execution broadcasts the repeated keys when they turn out small and splits skewed
-    partitions of the rows when they do not; no group is ever gathered in one task.
+    The keys are counted first; the rows are then only filtered by a semi join, so no group is
+    ever gathered in one task. By itself the plan is lazy, and adaptive execution splits the
+    partitions of a hot key. With ``keep`` (see :func:`tallymark.session.stored`) the repeated
+    keys are settled first; where they are few, the rows are then filtered without a shuffle.
     """
     marks = {k: f"__repeated_{i}" for i, k in enumerate(keys)}
     repeated = repeated_keys(df, keys).select(*[nz.col(k).alias(m) for k, m in marks.items()])
+    repeated = keep(repeated) if keep else repeated
     return df.join(repeated, null_safe(df, repeated, list(marks.items())), "left_semi")
 
 
@@ -245,11 +252,11 @@ class KeyedDiff:
         """Rows the source does not have."""
         return self._side_rows(self.only_target, "t")
 
-    def duplicates(self) -> DataFrame:
+    def duplicates(self, keep: Keep | None = None) -> DataFrame:
         """All rows with a repeated key, labelled by ``side``."""
         def labelled(df: DataFrame, side: str) -> DataFrame:
             types = df.schema
-            return rows_with_repeated_keys(df, self._key_ids).select(
+            return rows_with_repeated_keys(df, self._key_ids, keep).select(
                 F.lit(side).alias("side"), *self._shown_keys(),
                 *[shown(F.col(c), types[c].dataType).alias(name)
                   for c, name in zip(self._value_ids, self.columns)])

@@ -18,7 +18,7 @@ from tallymark.functions import normalize as nz
 from tallymark.functions import scalars as sc
 from tallymark.operators.checks import need_columns, types_of, verdict
 from tallymark.operators.counters import Tally
-from tallymark.operators.diff import rows_with_repeated_keys
+from tallymark.operators.diff import Keep, rows_with_repeated_keys
 
 ROW_RULES = ("value_equals", "allowed_values", "not_allowed", "conditional", "flag_override",
              "not_null", "range", "valid_expr", "must_exist", "must_not_exist")
@@ -171,7 +171,8 @@ def group_rule_totals(rule: Rule, df: DataFrame) -> DataFrame:
     ).withColumn("status", verdict(F.col("bad_groups") == 0))
 
 
-def offenders(rule: Rule, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def offenders(rule: Rule, df: DataFrame, keys: Sequence[str] = (),
+              keep: Keep | None = None) -> DataFrame:
     """Violating rows (keys and the tested columns), or violating groups."""
     if rule.rule_type in ("combine", "split"):
         distinct = rule.rule_type == "split" and rule.params.get("type_column")
@@ -180,7 +181,7 @@ def offenders(rule: Rule, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     if rule.rule_type == "unique":
         columns = _names(rule, df, "columns", "column")
         scoped = df.where(_holds(rule.filter)) if rule.filter else df
-        bad = rows_with_repeated_keys(scoped, columns)
+        bad = rows_with_repeated_keys(scoped, columns, keep)
     else:
         built = row_rule(rule, df)
         columns, bad = built.columns, df.where(built.scope & built.bad)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.counters import Tally, tally_rows
 from tallymark.operators.diff import KeyedDiff
+from tallymark.session import stored
 
 COLUMNS = ("category", "name", "target_table", "status", "severity", "message", "metrics",
            "rule_id", "use_case")
@@ -99,7 +100,7 @@ def compared(diff: KeyedDiff, checks: Mapping[Head, Column],
         {h.name: (lambda c=c: rows(totals, [c])) for h, c in checks.items()},
         {h.name: diff.findings for h in checks},
         lambda folder: rows(diff.write_findings(folder, subset), checks.values()),
-        diff.duplicates)
+        lambda: diff.duplicates(stored))
 
 
 def fused(df: DataFrame, tallies: Mapping[Head, Tally],

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER_KEY = "spark.checkpoint.dir"
 
@@ -44,3 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set(_FOLDER_KEY, root)
     return os.path.join(root, uuid.uuid4().hex)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    Its size is then known before the next step is planned: a small result is broadcast by the
+    optimizer's own size check, a large one is joined by shuffle. It also survives lost executors.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import checks, rules
 from tallymark.operators.rules import Rule
+from tallymark.session import stored
 
 
 def test_foreign_keys_match_brute_force(spark):
@@ -23,6 +24,8 @@ def test_foreign_keys_match_brute_force(spark):
         120, 6, len(orphans), 120 - len(filled), "FAIL")
     found = checks.fk_orphans(c, p, ["a", "b"], ["k", "l"]).collect()
     assert sorted(map(tuple, found)) == sorted(orphans)
+    settled = checks.fk_orphans(c, p, ["a", "b"], ["k", "l"], keep=stored).collect()
+    assert sorted(map(tuple, settled)) == sorted(orphans)
     with pytest.raises(ValueError):
         checks.fk_summary(c, p, ["a"], ["k", "l"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.normalize import Norm
 from tallymark.operators.diff import keyed_diff, rows_with_repeated_keys
+from tallymark.session import stored
 
 
 def text(spark, rows, names):
@@ -108,6 +109,7 @@ def test_counts_add_up_with_hot_and_null_keys(spark, seed):
     assert got.matched_keys + got.source_only + repeated == got.source_total
     assert diff.findings().count() == got.value_mismatches + got.source_only + got.target_only
     assert rows_with_repeated_keys(frames[0], ["k"]).count() == repeated
+    assert rows_with_repeated_keys(frames[0], ["k"], stored).count() == repeated
 
 
 def test_findings_and_totals_in_one_pass(spark, tmp_path):
