@@ -8,18 +8,18 @@ DEAL_COLUMNS = ("DEAL_ID FUND_CODE COMPANY PUBLIC_PRIVATE_FLAG ADJ_CODE LINE_TYP
                 "CASH_RECEIVED PERIOD").split()
 
 SOURCE_DEALS = [
-    ("D001", "F1", "Ultra", "Public", "27", "Base", "1,250,000.00", "10,000", "2026Q1"),
-    ("D001D", "F1", "Ultra", "Public", "27", "Debt", "300,000.00", "0", "2026Q1"),
+    ("D001", "F1", "Delta", "Public", "27", "Base", "1,250,000.00", "10,000", "2026Q1"),
+    ("D001D", "F1", "Delta", "Public", "27", "Debt", "300,000.00", "0", "2026Q1"),
     ("D002", "F2", "Alpha", "Private", "3", "Base", "2,000", "5", "2026Q1"),
     ("D003", "F3", "Beta", "Private", "4", "Base", "", "7", "2026Q1"),
-    ("D999", "F1", "Nouryon", "Private", "5", "Base", "0", "0", "2026Q1"),
+    ("D999", "F1", "Gamma", "Private", "5", "Base", "0", "0", "2026Q1"),
 ]
 TARGET_DEALS = [
-    ("D001", "F1", "Ultra", "Public", "27", "Base", "1250000", "10000", "2026Q1", "SRC", "t1"),
-    ("D001D", "F1", "Ultra", "Public", "1", "Debt", "300000", "0", "2026Q1", "SRC", "t1"),
+    ("D001", "F1", "Delta", "Public", "27", "Base", "1250000", "10000", "2026Q1", "SRC", "t1"),
+    ("D001D", "F1", "Delta", "Public", "1", "Debt", "300000", "0", "2026Q1", "SRC", "t1"),
     ("D002", "F2", "Alpha", "Public", "3", "Base", "2000", "5", "2026Q1", "SRC", "t1"),
     ("D003", "F3", "Beta", "Private", "4", "Base", "0", "7", "2026Q1", "SRC", "t1"),
-    ("D999", "F1", "Nouryon", "Private", "5", "Base", "0", "0", "2026Q1", "SRC", "t1"),
+    ("D999", "F1", "Gamma", "Private", "5", "Base", "0", "0", "2026Q1", "SRC", "t1"),
 ]
 FUNDS = [("F1", "Fund one"), ("F2", "Fund two"), ("F3", "Fund three")]
 
@@ -41,12 +41,12 @@ MAPPING = {
     ],
     "business_rules": [
         {"rule_id": "BR001", "target_table": "DEAL", "rule_type": "value_equals", "severity": "P1",
-         "filter": "COMPANY == 'Ultra'", "params": {"column": "ADJ_CODE", "expected": 27}},
+         "filter": "COMPANY == 'Delta'", "params": {"column": "ADJ_CODE", "expected": 27}},
         {"rule_id": "BR002", "target_table": "DEAL", "rule_type": "conditional",
          "params": {"when": "COMPANY == 'Alpha'", "column": "PUBLIC_PRIVATE_FLAG",
                     "expected": "Private"}},
         {"rule_id": "BR003", "target_table": "DEAL", "rule_type": "must_not_exist",
-         "filter": "COMPANY == 'Nouryon'"},
+         "filter": "COMPANY == 'Gamma'"},
         {"rule_id": "BR004", "target_table": "DEAL", "rule_type": "unique",
          "params": {"columns": ["DEAL_ID"]}},
         {"rule_id": "dropped", "target_table": "DEAL"},
