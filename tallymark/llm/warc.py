@@ -57,9 +57,12 @@ def trained_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
 
     Where the records are too few to train on, they themselves are the (raw) dictionary.
     """
-    sample = (pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    some = pages.where("html is not null and page_id is not null")
+    chosen = some.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    sample = (some.join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"])  # at most SAMPLE_RECORDS ids
               .select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect())
     records = [_record(r.page_id, r.url, r.html.encode(), None, "") for r in sample]
+    records.sort()  # the same dictionary whatever the order of the rows
     try:
         return zstandard.train_dictionary(size, records).as_bytes()
     except (zstandard.ZstdError, ValueError):
