@@ -63,7 +63,10 @@ def _comparable_key(name: str, dtype: T.DataType, other: T.DataType, norm: Norm)
     whole = all(isinstance(d, T.IntegralType) for d in (dtype, other))
     if norm.kind == "numeric" and norm.decimal_scale is None and norm.round_to is None:
         if not floats and not whole:
-            norm = replace(norm, decimal_scale=_KEY_SCALE)
+            scales = [d.scale for d in (dtype, other) if isinstance(d, T.DecimalType)]
+            norm = replace(norm, decimal_scale=max([_KEY_SCALE, *scales]))
+    elif norm.kind in ("date", "datetime") and not all(isinstance(d, T.DateType) for d in (dtype, other)):
+        norm = replace(norm, date_only=False)  # a key is the full moment, never its day
     c = nz.col(name)
     return _comparable(nz.prepared(c, dtype, norm), dtype, other, norm)
 

@@ -136,8 +136,7 @@ def failures(checks: DataFrame, runs: DataFrame | None = None,
     last = numbered.groupBy("suite_key", "check_id", "run_no").agg(
         F.max_by(failing(), "position").alias("failed"))
     chunk = F.floor(F.col("run_no") / _CHUNK)
-    overlaps = F.when(F.col("run_no") % _CHUNK >= _CHUNK - depth, chunk + 1)
-    copies = F.filter(F.array(chunk, overlaps), lambda x: x.isNotNull())
+    copies = F.sequence(chunk, F.floor((F.col("run_no") + depth) / _CHUNK))
     spread = last.where("failed").select(
         "suite_key", "check_id", "run_no", chunk.alias("home"), F.explode(copies).alias("chunk"))
     part = ["suite_key", "check_id", "chunk"]
@@ -217,13 +216,15 @@ def triage(checks: DataFrame, statuses: Sequence[str] | None = None,
 
 
 def search(runs: DataFrame, kind: str = "all", passed: bool | None = None,
-           text: str = "", fields: Sequence[str] = ("run_id", "suite")) -> DataFrame:
+           text: str = "", fields: Sequence[str] = ("run_id", "suite"),
+           report_suites: Sequence[str] = ()) -> DataFrame:
     """Runs of a kind (all, data, reports), an outcome and a text in any of the fields.
 
-    A run without recorded categories is told by the name of its suite.
+    A run without recorded categories is told by the name of its suite: ``report_*``, or one of
+    ``report_suites``.
     """
     stem = F.regexp_replace(F.coalesce("suite", F.lit("")), r"\.ya?ml$", "")
-    by_name = stem.startswith("report_") | stem.isin("gvc", "mda")
+    by_name = stem.startswith("report_") | stem.isin(*report_suites)
     known = F.coalesce(F.size("categories") > 0, F.lit(False))
     is_report = F.when(known, F.arrays_overlap("categories", F.array(*map(F.lit, REPORT_CATEGORIES)))
                        ).otherwise(by_name)

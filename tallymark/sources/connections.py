@@ -107,5 +107,6 @@ def connect(spark: SparkSession, config: Mapping[str, object]) -> Connection:
         inner = jdbc_connection(spark, url, **{**options, **dict(config.get("jdbc_options") or {})})
     if not config.get("max_rows"):
         return inner
-    return lambda ds: capped(inner(ds), int(config["max_rows"]),
-                             bool(config.get("allow_truncation", False)))
+    if config.get("allow_truncation"):
+        raise ValueError("a check of a truncated side would say nothing; raise max_rows instead")
+    return lambda ds: capped(inner(ds), int(config["max_rows"]))

@@ -99,13 +99,13 @@ def read_delimited(spark: SparkSession, pattern: str, sep: str | None = None,
 
     Everything is text unless ``dtype_str`` is false. Files with equal headers are read
     together, so there is one scan per distinct header; ``same_header`` says that there is
-    only one and saves the look at each file's first line.
+    only one and saves the look at each file's first line; a file with another header is an error.
     """
     files = [pattern] if same_header else matching_files(spark, pattern)
 
     def reader(name: str):
         mark = sep or ("\t" if name.lower().endswith(".tsv") else ",")
-        return (spark.read.option("header", True).option("sep", mark)
+        return (spark.read.option("header", True).option("enforceSchema", False).option("sep", mark)
                 .option("encoding", charset(encoding)).option("escape", '"').option("multiLine", multiline)
                 .option("inferSchema", not dtype_str))
 

@@ -128,3 +128,17 @@ def test_subset_of_columns_from_the_same_totals(spark):
     got = keyed_diff(source(spark), tgt, ["id"], ["amt", "flag"], AMOUNT).totals(["amt"]).first()
     assert (got.value_mismatches, got.mismatched_rows) == (3, 2)
     assert (got.subset_mismatches, got.subset_rows) == (1, 1)
+
+
+def test_keys_are_never_cut(spark):
+    """Moments of one day, and decimals beyond ten digits, are keys of their own."""
+    from decimal import Decimal
+
+    from tallymark.operators.diff import keyed_diff
+    rows = spark.sql("select timestamp'2026-01-01 10:00:00' k, 1 v union all select timestamp'2026-01-01 11:00:00', 2")
+    metrics = keyed_diff(rows, rows, ["k"]).summary().first()
+    assert (metrics["matched_keys"], metrics["source_dup_keys"]) == (2, 0)
+    exact = spark.createDataFrame([(Decimal("0.000000000011"), 1), (Decimal("0.000000000012"), 1)],
+                                  "k decimal(20,12), v int")
+    texts = exact.selectExpr("cast(k as string) k", "v")
+    assert keyed_diff(texts, exact, ["k"]).summary().first()["matched_keys"] == 2

@@ -50,6 +50,13 @@ def test_streaks_match_brute_force_across_chunks(spark, monkeypatch, chunk):
     assert max(got.values()) == 13
 
 
+def test_streaks_deeper_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(history, "_CHUNK", 8)
+    runs = [("s", [("c", "FAIL")])] * 59
+    got = history.failures(make(spark, runs), depth=40).collect()
+    assert {(r.run_id, r.position): r.streak for r in got} == brute_force(runs, 40)
+
+
 def test_new_and_recurring(spark):
     runs = [("s", [("a [t]", "FAIL"), ("b", "FAIL")]), ("s", [("a [t]", "ERROR"), ("b", "PASS"), ("c", "FAIL")]),
             ("s", [("a [t]", "FAIL"), ("c", "FAIL")])]
