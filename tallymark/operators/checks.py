@@ -5,7 +5,10 @@ Where a verdict belongs to the result it is the column ``status``: PASS, FAIL or
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,9 +83,11 @@ def group_count_totals(source: DataFrame, target: DataFrame,
 def compare_names(declared: Sequence[str], actual: Sequence[str],
                   case_sensitive: bool = False) -> tuple[list[str], list[str]]:
     """Names (missing from, extra in) the actual columns. Metadata only, no job."""
-    fold = (lambda s: s) if case_sensitive else str.lower
-    have, want = {fold(a): a for a in actual}, {fold(d): d for d in declared}
-    return ([want[k] for k in want if k not in have], [have[k] for k in have if k not in want])
+    def absent(names: Sequence[str], among: Sequence[str]) -> list[str]:
+        by_key = {n if case_sensitive else n.lower(): n for n in names}
+        present = set(among) if case_sensitive else {n.lower() for n in among}
+        return [by_key[k] for k in by_key if k not in present]
+    return absent(declared, actual), absent(actual, declared)
 
 
 def schema_drift(df: DataFrame, declared: Sequence[str],
@@ -184,23 +189,25 @@ def value_presence(df: DataFrame, column: str, expected: Sequence = (),
                    forbidden: Sequence = ()) -> DataFrame:
     """Per expected or forbidden value, whether it occurs (exact text).
 
-    The column is reduced to its distinct values before the lists are looked up.
+    The column is reduced to its distinct values, which meet the listed ones in a join; the plan is
+    as small for thousands of listed values as for one.
     """
     need_columns(df, [column])
     c, dtype = nz.col(column), types_of(df)[column]
     filled = c.isNotNull() if isinstance(dtype, T.StringType) else ~nz.nullish(c, dtype)
     present = df.where(filled).select(nz.as_text(c, dtype).alias("value")).distinct()
     wanted = [("expected", str(v)) for v in expected] + [("forbidden", str(v)) for v in forbidden]
-    counters = {f"v{i}": F.max(F.col("value") == F.lit(v)) for i, (_, v) in enumerate(wanted)}
-
-    def row(n: Mapping[str, Column], i: int, role: str, value: str) -> Column:
-        there = F.coalesce(n[f"v{i}"], F.lit(False))
-        ok = there if role == "expected" else ~there
-        return F.struct(F.lit(value).alias("value"), F.lit(role).alias("role"),
-                        there.alias("present"), n["distinct"].alias("distinct_present"),
-                        verdict(ok).alias("status"))
-    return tally_rows(present, [Tally(counters | {"distinct": F.count("*")}, lambda n: [
-        row(n, i, role, v) for i, (role, v) in enumerate(wanted)])])
+    listed = F.from_json(F.lit(json.dumps([{"role": r, "value": v} for r, v in wanted])),
+                         "array<struct<role:string,value:string>>")
+    names = F.from_json(F.lit(json.dumps(sorted({v for _, v in wanted}))), "array<string>")
+    names = df.sparkSession.range(1).select(F.explode(names).alias("value"), F.lit(True).alias("listed"))
+    found = present.join(names, "value", "left").agg(
+        F.count("*").alias("distinct_present"),
+        F.collect_set(F.when(F.col("listed"), F.col("value"))).alias("hits"))  # listed values at most
+    there = F.array_contains("hits", F.col("value"))
+    return found.select("distinct_present", "hits", F.inline(listed)).select(
+        "value", "role", there.alias("present"), "distinct_present",
+        verdict(there == (F.col("role") == "expected")).alias("status"))
 
 
 # --- keys --------------------------------------------------------------------------------
@@ -405,14 +412,27 @@ def aggregate_variance(source: DataFrame, target: DataFrame, columns: Sequence[s
 
 # --- snapshots ---------------------------------------------------------------------------
 
-def before(df: DataFrame, period_column: str, current) -> DataFrame:
-    """Rows of the periods before the current one, by one typed comparison on either side."""
-    if period_column not in df.columns:
-        return df
+def before(sides: Sequence[DataFrame], period_column: str, current) -> list[DataFrame]:
+    """Rows of the periods before the current one, by one typed comparison for all sides.
+
+    Periods are numbers if the current one or a side's column is a number, else moments if one of
+    them is a date or time, else text. A period that cannot be read so is in no earlier period; a
+    side without the column is an error.
+    """
+    for df in sides:
+        need_columns(df, [period_column], "period column")
+    types = [types_of(df)[period_column] for df in sides]
     c = nz.col(period_column)
-    if isinstance(types_of(df)[period_column], T.StringType):
-        return df.where(c < F.lit(str(current)))
-    return df.where(c < F.lit(current))
+    if isinstance(current, (int, float, Decimal)) or any(isinstance(t, T.NumericType) for t in types):
+        limit = nz.number(F.lit(str(current)), T.StringType())
+        read = nz.number
+    elif isinstance(current, date) or any(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))
+                                          for t in types):
+        limit = nz.moment(F.lit(str(current)), T.StringType(), False)
+        read = lambda c, t: nz.moment(c, t, False)
+    else:
+        limit, read = F.lit(str(current)), lambda c, t: c
+    return [df.where(read(c, t) < limit) for df, t in zip(sides, types)]
 
 
 def immutability(baseline: DataFrame, current: DataFrame, keys: Sequence[str],
@@ -420,8 +440,7 @@ def immutability(baseline: DataFrame, current: DataFrame, keys: Sequence[str],
                  current_period=None, norms: Mapping[str, Norm] | None = None) -> KeyedDiff:
     """Diff of the periods before the current one: they must not change or vanish."""
     if period_column and current_period is not None:
-        baseline = before(baseline, period_column, current_period)
-        current = before(current, period_column, current_period)
+        baseline, current = before([baseline, current], period_column, current_period)
     return keyed_diff(baseline, current, keys, columns, norms)
 
 

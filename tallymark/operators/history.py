@@ -129,7 +129,8 @@ def failures(checks: DataFrame, runs: DataFrame | None = None,
     most; a run of the suite without the check breaks it. Long histories are cut in chunks of
     run numbers that overlap by ``depth`` runs, so each chunk alone gives exact streaks.
     """
-    order = _numbered(checks.select(*RUN).distinct() if runs is None else runs)
+    runs = checks if runs is None else runs
+    order = _numbered(runs.groupBy("run_id").agg(*[F.min(c).alias(c) for c in RUN if c != "run_id"]))
     numbered = checks.join(order, "run_id").withColumns(
         {"check_id": check_id(), "label": check_label()})
     # A check listed twice in a run counts by its last entry.

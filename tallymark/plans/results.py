@@ -56,10 +56,11 @@ def words(*parts) -> Column:
                       else F.lit(str(p)) for p in parts])
 
 
-def fixed_row(head: Head, status: str, message: str) -> Row:
-    """A check decided without a job: skipped, or failed at planning."""
-    return Row(*COLUMNS)(head.category, head.name, head.table, status, head.severity, message, {},
-                         head.rule_id, head.use_case)
+def fixed_row(head: Head, status: str, message: str,
+              metrics: Mapping[str, str] | None = None) -> Row:
+    """A check decided without a job: skipped, failed at planning, or told by column names."""
+    return Row(*COLUMNS)(head.category, head.name, head.table, status, head.severity, message,
+                         dict(metrics or {}), head.rule_id, head.use_case)
 
 
 @dataclass(frozen=True)

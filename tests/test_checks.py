@@ -116,3 +116,31 @@ def test_type_samples_keep_the_first_per_column(spark):
     df = spark.range(40).select(F.concat(F.lit("bad"), F.col("id")).alias("a"), F.lit("1").alias("b"))
     got = checks.type_samples(df, {"a": "numeric", "b": "numeric"}).collect()
     assert [r.value for r in sorted(got, key=lambda r: r.place)] == ["bad0", "bad1", "bad10", "bad11", "bad12"]
+
+
+def test_long_value_lists_stay_one_small_plan(spark):
+    df = spark.range(6000).selectExpr("cast(id as string) v")
+    expected = [str(i) for i in range(3000, 8000)]
+    got = checks.value_presence(df, "v", expected, ["5", "x", "5"])
+    assert len(got._jdf.queryExecution().analyzed().output().mkString()) < 200
+    totals = got.groupBy("role", "present").count().collect()
+    assert {(r.role, r.present): r["count"] for r in totals} == {
+        ("expected", True): 3000, ("expected", False): 2000, ("forbidden", True): 2, ("forbidden", False): 1}
+    assert got.first().distinct_present == 6000
+    nothing = checks.value_presence(df.where("false"), "v", ["1"], ["2"]).collect()
+    assert {(r.value, r.status, r.distinct_present) for r in nothing} == {("1", "FAIL", 0), ("2", "PASS", 0)}
+
+
+@pytest.mark.parametrize("kinds, values, limit", [
+    (("string", "int"), ["9", "10", "x", None], 10),
+    (("string", "string"), ["9", "10", "100", None], 10),
+    (("string", "date"), ["2025-12-31", "2026-01-01", "soon", None], "2026-01-01"),
+    (("timestamp", "string"), ["2025-12-31 23:59:59", "2026-01-01 00:00:00", "2026-01-02", None], "2026-01-01"),
+])
+def test_one_typed_period_for_both_sides(spark, kinds, values, limit):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, p string")
+    sides = [rows.selectExpr("k", f"try_cast(p as {kind}) p") for kind in kinds]
+    for df in checks.before(sides, "p", limit):
+        assert [r.k for r in df.collect()] == [0]
+    with pytest.raises(ValueError):
+        checks.before([rows, rows.drop("p")], "p", limit)

@@ -91,3 +91,9 @@ def test_run_documents_of_several_writers(spark, tmp_path):
     assert flat.count() == 4
     assert sorted(tuple(r)[-3:] for r in history.evidence(flat).collect()) == [
         ("x", "p", 3), ("x", "p", 3), ("y", "q", None), ("y", "q", None)]
+
+
+def test_a_run_of_two_start_times_is_one_run(spark):
+    checks = make(spark, [("s", [("a", "FAIL"), ("b", "FAIL")])] * 2)
+    varied = checks.withColumn("started_at", history.F.concat("started_at", history.F.col("name")))
+    assert history.failures(varied).count() == history.failures(checks).count() == 4

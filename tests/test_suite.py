@@ -241,3 +241,65 @@ def test_evidence_names_never_meet():
     names = [_file_name(long + "a]"), _file_name(long + "b]"), _file_name("['x', 'y']"), _file_name("['x_y']"),
              _file_name("same", "a", "t"), _file_name("same", "b", "t")]
     assert len(set(names)) == len(names)
+
+
+def _pair(spark, tables, target, source=None):
+    return Suite(spark, mapping_from_dict({"tables": tables}), frames_connection(target),
+                 frames_connection(source) if source else None)
+
+
+def test_an_absent_column_does_not_cost_the_type_check(spark):
+    columns = [{"target_column": c, "target_datatype": "decimal"} for c in ("a", "gone")]
+    df = spark.createDataFrame([("1",), ("x",)], "a string")
+    got = by_name(_pair(spark, [{"target_table": "T", "columns": columns}], {"T": df}).run(["datatype", "schema"]))
+    types = got["Data types [T]"]
+    assert (types.status, types.metrics["bad:a"], types.metrics["absent_columns"]) == ("FAIL", "1", "gone")
+    assert got["Schema [T]"].metrics["missing"] == "gone"
+
+
+@pytest.fixture
+def broken(spark, tmp_path):
+    """A pair that fails, and an evidence folder that is a file."""
+    blocked = tmp_path / "evidence"
+    blocked.write_text("in the way")
+    columns = [{"target_column": c, "source_column": c} for c in ("id", "v")]
+    table = {"target_table": "T", "source_object": "S", "key_columns": ["id"], "columns": columns}
+    make = lambda rows: spark.createDataFrame(rows, "id int, v string")
+    suite = _pair(spark, [table], {"T": make([(1, "a"), (1, "b"), (2, "c")])}, {"S": make([(1, "a"), (2, "d")])})
+    return suite, str(blocked), str(tmp_path / "history")
+
+
+def test_evidence_that_cannot_be_written_is_noted(spark, broken):
+    suite, blocked, folder = broken
+    checks = suite.run(["deduplication", "reconciliation"], history=folder, evidence=blocked)
+    got = by_name(checks)
+    for name in ("Deduplication [T]", "Reconciliation [T]"):
+        assert got[name].status == "FAIL" and "Evidence was not written" in got[name].message
+    assert sinks.read_checks(spark, f"{folder}/checks").count() == checks.count()
+
+
+def test_all_evidence_is_listed(spark, tmp_path):
+    """Findings that the verdict allows are listed like others."""
+    columns = [{"target_column": c, "source_column": c} for c in ("id", "v")]
+    mapping = mapping_from_dict({"tables": [{
+        "target_table": "T", "source_object": "S", "key_columns": ["id"], "columns": columns,
+        "options": {"cross_source": {"second_source": "two", "object": "T"}}}]})
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    suite = Suite(spark, mapping, frames_connection({"T": one}), frames_connection({"S": one}),
+                  {"two": frames_connection({"T": one.where("id = 1")})})
+    got = by_name(suite.run(["cross_source"], history=f"{tmp_path}/h", evidence=f"{tmp_path}/e"))
+    assert got["Cross-source [T]"].status == "PASS"
+    listed = sinks.read_listing(spark, f"{tmp_path}/h/evidence").collect()
+    assert [(r.status, r.rows) for r in listed] == [("PASS", 1)]
+    assert spark.read.option("header", True).csv(listed[0].path).count() == 1
+
+
+def test_structure_names_the_row_gate(spark):
+    from tallymark.operators import report
+    tab = tab_from_dict({"name": "t", "actual": {"connection": "a", "table": "x"},
+                         "expected": {"connection": "b", "table": "y"}, "row_count_gate": "fail"})
+    row = report.structure(spark.range(3), spark.range(1), tab).first()
+    assert row.status == "FAIL" and row.problems.startswith("row counts differ by 2")
+    mixed = report.line_up(["A", "b", "x"], ["a", "b", "y"], ["a", "b", "c"])
+    assert (mixed.only_actual, mixed.only_expected) == (("x",), ("y",)) and len(mixed.hard) == 2
+    assert mixed.soft[0] == "column case differs on ['a']"
