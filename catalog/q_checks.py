@@ -193,6 +193,20 @@ def transformation_diff(s, d):
     return _metrics(diff, checks.verdict(diff.is_clean()))
 
 
+@query("completeness_long_list", """
+WITH w AS (SELECT CAST(i AS VARCHAR) AS value, 'expected' AS role FROM range(1, 5001) t(i)
+  UNION ALL SELECT CAST(-i AS VARCHAR), 'forbidden' FROM range(1, 101) t(i)),
+p AS (SELECT DISTINCT CAST(CASE WHEN o_custkey % 50 = 0 THEN -o_custkey ELSE o_custkey END AS VARCHAR) AS v FROM orders)
+SELECT w.value, w.role, p.v IS NOT NULL AS present, (SELECT count(*) FROM p) AS distinct_present,
+  CASE WHEN (p.v IS NOT NULL) = (w.role = 'expected') THEN 'PASS' ELSE 'FAIL' END AS status
+FROM w LEFT JOIN p ON p.v = w.value""")
+def completeness_long_list(s, d):
+    """Five thousand expected values and a hundred forbidden ones."""
+    customers = table(s, d, "orders").select(
+        F.when(F.col("o_custkey") % 50 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("customer"))
+    return checks.value_presence(customers, "customer", range(1, 5001), range(-100, 0))
+
+
 YEAR = "CAST(strftime(o_orderdate, '%Y') AS INTEGER)"
 
 
@@ -247,6 +261,16 @@ def historical_immutability(s, d):
     return _metrics(diff, checks.immutability_verdict())
 
 
+@query("immutability_mixed_types", _SNAPSHOT_SQL + _snapshot_metrics("WHERE period < 2000", "p + s") + """
+SELECT *, CASE WHEN value_mismatches + source_only = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
+def immutability_mixed_types(s, d):
+    """The baseline's period is padded text, the current one's a number; both are before 2000 alike."""
+    base, now = snapshots(s, d)
+    base = base.withColumn("period", F.concat(F.lit("0"), F.col("period").cast("string"), F.lit(" ")))
+    diff = checks.immutability(base, now, ["o_orderkey"], VALUES, "period", 2000)
+    return _metrics(diff, checks.immutability_verdict())
+
+
 @query("incremental_delta", _SNAPSHOT_SQL + _snapshot_metrics("", "s") + """
 SELECT *, CASE WHEN value_mismatches + source_only = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def incremental_delta(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog import seeds
@@ -49,6 +51,15 @@ SELECT CAST(5 AS INTEGER) AS actual_columns, CAST(4 AS INTEGER) AS expected_colu
   'source' AS only_in_actual, '' AS only_in_expected,
   '1 columns only in ACTUAL: [''source'']' AS problems, 'WARN' AS status FROM c"""
 
+QUERIES["report_structure_gate"] = lambda s, d: report.structure(
+    actual(s, d), expected(s, d), replace(TAB, row_count_gate="fail", row_count_tolerance=0)).select(
+    "row_delta", "problems", "status")
+SQL["report_structure_gate"] = TAB_SQL + """,
+c AS (SELECT abs((SELECT count(*) FROM a) - (SELECT count(*) FROM e)) AS row_delta)
+SELECT row_delta, '1 columns only in ACTUAL: [''source'']' || CASE WHEN row_delta > 0
+    THEN '; row counts differ by ' || row_delta || ', more than 0' ELSE '' END AS problems,
+  CASE WHEN row_delta > 0 THEN 'FAIL' ELSE 'WARN' END AS status FROM c"""
+
 QUERIES["report_data"] = lambda s, d: report.data_diff(actual(s, d), expected(s, d), TAB).summary()
 SQL["report_data"] = TAB_SQL + """,
 j AS (SELECT abs(a.revenue - e.revenue) > 0.5 AS r, abs(a.orders - e.orders) > 0.5 AS o
