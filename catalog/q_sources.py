@@ -63,6 +63,32 @@ def scan_glob_lineage(s, d):
                      F.col(readers.SOURCE_FILE).endswith(".csv").alias("from_csv"))
 
 
+@query("scan_typed", """
+SELECT CAST(p_partkey AS INTEGER) AS id, p_brand AS brand, CAST(NULL AS DOUBLE) AS balance, p_size > 10 AS flag,
+  DATE '2024-02-01' AS day FROM part
+UNION ALL SELECT CAST(s_suppkey AS INTEGER), NULL, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END, NULL,
+  NULL FROM supplier""")
+def scan_typed(s, d):
+    """Two feeds below one glob, with types found over all their files; missing texts have none."""
+    folder = shared_folder(s)
+    table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"),
+                               (F.col("p_size") > 10).alias("flag"), F.lit("2024-02-01").alias("day")) \
+        .write.option("header", True).csv(f"{folder}/feed_parts")
+    table(s, d, "supplier").select(
+        F.when(every(7, "s_suppkey"), "N/A").otherwise(F.col("s_acctbal").cast("string")).alias("balance"),
+        F.col("s_suppkey").alias("id")).write.option("header", True).csv(f"{folder}/feed_suppliers")
+    df = readers.read_delimited(s, f"{folder}/feed_*/*.csv", dtype_str=False)
+    return df.select("id", "brand", "balance", "flag", "day")
+
+
+@query("scan_table", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def scan_table(s, d):
+    """A table by its qualified name, narrowed to columns and a filter."""
+    table(s, d, "nation").createOrReplaceGlobalTempView("tallymark_nation")
+    return readers.read_dataset(s, Dataset(table="global_temp.tallymark_nation", columns=["n_nationkey", "n_name"],
+                                           where="n_regionkey = 1"))
+
+
 @query("project_with_lineage", """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, true AS has_file FROM orders
 WHERE o_orderpriority <> '5-LOW'""")

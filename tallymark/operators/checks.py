@@ -82,12 +82,17 @@ def group_count_totals(source: DataFrame, target: DataFrame,
 
 def compare_names(declared: Sequence[str], actual: Sequence[str],
                   case_sensitive: bool = False) -> tuple[list[str], list[str]]:
-    """Names (missing from, extra in) the actual columns. Metadata only, no job."""
-    def absent(names: Sequence[str], among: Sequence[str]) -> list[str]:
-        by_key = {n if case_sensitive else n.lower(): n for n in names}
-        present = set(among) if case_sensitive else {n.lower() for n in among}
-        return [by_key[k] for k in by_key if k not in present]
-    return absent(declared, actual), absent(actual, declared)
+    """Names (missing from, extra in) the actual columns. Metadata only, no job.
+
+    Of names that fold together the last spelling is told, in the place of the first.
+    """
+    spelled: dict[str, list] = {}
+    for side, names in enumerate((declared, actual)):
+        for name in names:
+            spelled.setdefault(name if case_sensitive else name.lower(), [None, None])[side] = name
+    pairs = spelled.values()
+    return ([mine for mine, theirs in pairs if theirs is None],
+            [theirs for mine, theirs in pairs if mine is None])
 
 
 def schema_drift(df: DataFrame, declared: Sequence[str],
@@ -380,7 +385,7 @@ def relative_variance(reference: Column, other: Column) -> Column:
 
 def sums_by_side(source: DataFrame, target: DataFrame,
                  columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """One row of sums ``s0..``/``t0..``; both sides are added up in one scan each, no join."""
+    """One row of row counts and of sums ``s0..``/``t0..``; one scan a side, no join."""
     shared = [c for c in columns if c in source.columns and c in target.columns]
     def amounts(df: DataFrame, mine: bool) -> DataFrame:
         types = types_of(df)
@@ -389,7 +394,7 @@ def sums_by_side(source: DataFrame, target: DataFrame,
     both = amounts(source, True).unionByName(amounts(target, False))
     total = lambda when, v: F.coalesce(F.sum(F.when(when, F.col(v))), F.lit(0.0))
     return both.agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.count_if("in_source").alias("source_rows"), F.count_if(~F.col("in_source")).alias("target_rows"),
         *[total(F.col("in_source"), f"v{i}").alias(f"s{i}") for i in range(len(shared))],
         *[total(~F.col("in_source"), f"v{i}").alias(f"t{i}") for i in range(len(shared))]), shared
 

@@ -115,6 +115,10 @@ def rows_with_repeated_keys(df: DataFrame, keys: Sequence[str],
     return df.join(repeated, null_safe(df, repeated, list(marks.items())), "left_semi")
 
 
+#: Types that a hash aggregate updates in place.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 @dataclass(frozen=True)
 class KeyedDiff:
     """A lazy comparison; every method returns a DataFrame and runs nothing."""
@@ -140,22 +144,29 @@ class KeyedDiff:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """One row per key: ``ns``/``nt`` rows per side and values ``s``/``t``."""
-        values = F.struct(*[F.col(c) for c in self._value_ids]) if self.columns \
-            else F.struct(F.lit(True).alias("present"))
-        kind = self.source.select(values.alias("v")).schema["v"].dataType
-        absent = F.lit(None).cast(kind)
+        """One row per key: ``ns``/``nt`` rows per side and, if columns are compared, values ``s``/``t``.
 
+        Values only count for keys that a side holds once, so any aggregate that gives a single value
+        back will do. Values of fixed width are told by their maximum, which a hash aggregate holds
+        in place; with a text among them a side's values stay together.
+        """
         def tagged(df: DataFrame, mine: int) -> DataFrame:
-            return df.select(
-                *self._key_ids,
-                F.lit(mine).cast("bigint").alias("ns"), F.lit(1 - mine).cast("bigint").alias("nt"),
-                (values if mine else absent).alias("s"), (absent if mine else values).alias("t"))
+            return df.select(*self._key_ids, F.lit(mine).cast("bigint").alias("ns"),
+                             F.lit(1 - mine).cast("bigint").alias("nt"), *self._value_ids)
 
         both = tagged(self.source, 1).unionByName(tagged(self.target, 0))
-        return both.groupBy(*self._key_ids).agg(
-            F.sum("ns").alias("ns"), F.sum("nt").alias("nt"),
-            F.first("s", ignorenulls=True).alias("s"), F.first("t", ignorenulls=True).alias("t"))
+        keys, rows = both.groupBy(*self._key_ids), [F.sum(n).alias(n) for n in ("ns", "nt")]
+        sides = {"s": F.col("ns") == 1, "t": F.col("nt") == 1}
+        if not self.columns:
+            return keys.agg(*rows)
+        if all(isinstance(f.dataType, FIXED_WIDTH) for f in both.schema if f.name in self._value_ids):
+            found = keys.agg(*rows, *[F.max(F.when(mine, F.col(c))).alias(side + c)
+                                      for side, mine in sides.items() for c in self._value_ids])
+            return found.select(*self._key_ids, "ns", "nt", *[
+                F.struct(*[F.col(side + c).alias(c) for c in self._value_ids]).alias(side) for side in sides])
+        values = F.struct(*[F.col(c) for c in self._value_ids])
+        return keys.agg(*rows, *[F.first(F.when(mine, values), ignorenulls=True).alias(side)
+                                 for side, mine in sides.items()])
 
     # Conditions over ``pairs``.
     matched = property(lambda self: (F.col("ns") == 1) & (F.col("nt") == 1))

@@ -11,11 +11,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.normalize import col
+from tallymark.session import stored
 
 SOURCE_FILE = "__source_file"
 PART_TAG = "__sheet"
@@ -79,16 +81,54 @@ def union_parts(parts: Mapping[str, DataFrame], tag: str = PART_TAG) -> DataFram
     return union_by_name([df.withColumn(tag, F.lit(str(name))) for name, df in parts.items()])
 
 
-def matching_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files of a path or glob, sorted. Lists names only; no content is read."""
+def first_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """``path``, ``tabs`` (a .tsv file) and ``header`` (its bytes) of every file of a path or glob.
+
+    One job whatever the number of files. A line is its file's first if it opens the file's first
+    block and no other line of that file came before it in the task.
+    """
+    def opening(batches):
+        import pyarrow as pa
+        last = None
+        for batch in batches:
+            paths = batch.column("path")
+            # within a task the lines of a file follow one another
+            runs = paths.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = [i for i in range(len(runs)) if not i or runs[i] != runs[i - 1]]
+            if starts and paths[0].as_py() == last:
+                starts = starts[1:]
+            last = paths[len(runs) - 1].as_py() if len(runs) else last
+            yield batch.take(pa.array(starts, pa.int64()))
+
     try:
-        found = spark.read.format("binaryFile").load(pattern).select("path").collect()
-    except Exception as exc:
+        lines = (spark.read.text(pattern).where("_metadata.file_block_start = 0 AND trim(value) <> ''")
+                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("header")))
+        found = lines.mapInArrow(opening, lines.schema)
+        return stored(found.select("path", F.lower("path").endswith(".tsv").alias("tabs"), "header"))
+    except AnalysisException as exc:
         raise DatasetError(f"no files matched: {pattern}") from exc
-    files = sorted(row.path for row in found)
-    if not files:
-        raise DatasetError(f"no files matched: {pattern}")
-    return files
+
+
+# What the text of a column must look like for it to be read as a type, narrowest type first.
+TYPE_LADDER = (("int", r"^[+-]?\d+$"), ("bigint", r"^[+-]?\d+$"), ("double", r"^[+-]?[\d.]+([eE][+-]?\d+)?$"),
+               ("boolean", r"^(?i:true|false)$"), ("date", r"^\d{4}-\d\d-\d\d$"),
+               ("timestamp", r"^\d{4}-\d\d-\d\d[ T]"))
+
+
+def typed(df: DataFrame, keep: Sequence[str] = PROVENANCE) -> DataFrame:
+    """Text columns as the narrowest type that all their values have, found in one aggregate."""
+    names = [c for c in df.columns if c not in keep]
+    def fits(c: str, kind: str, shape: str) -> Column:
+        text = F.trim(col(c))
+        return F.coalesce(F.bool_and(text.isNull() | (text.rlike(shape) & text.try_cast(kind).isNotNull())),
+                          F.lit(False)) & (F.count(col(c)) > 0)
+    if not names:
+        return df
+    found = df.agg(*[F.coalesce(*[F.when(fits(c, kind, shape), kind) for kind, shape in TYPE_LADDER],
+                                F.lit("string")).alias(f"t{i}") for i, c in enumerate(names)]).first()
+    kinds = dict(zip(names, found))
+    return df.select(*[F.trim(col(c)).cast(kinds[c]).alias(c) if kinds.get(c, "string") != "string" else col(c)
+                       for c in df.columns])
 
 
 def read_delimited(spark: SparkSession, pattern: str, sep: str | None = None,
@@ -97,34 +137,47 @@ def read_delimited(spark: SparkSession, pattern: str, sep: str | None = None,
                    same_header: bool = False) -> DataFrame:
     """Delimited files of a path or glob, by column name, with their file name per row.
 
-    Everything is text unless ``dtype_str`` is false. Files with equal headers are read
-    together, so there is one scan per distinct header; ``same_header`` says that there is
-    only one and saves the look at each file's first line; a file with another header is an error.
+    Everything is text unless ``dtype_str`` is false. First lines are looked up in one job; there is
+    one scan per distinct header, and rows are taken by a join with the files that have it.
+    ``same_header`` says that there is only one and saves that look, which reads the files' text; a
+    file with another header is then an error.
     """
-    files = [pattern] if same_header else matching_files(spark, pattern)
-
-    def reader(name: str):
-        mark = sep or ("\t" if name.lower().endswith(".tsv") else ",")
-        return (spark.read.option("header", True).option("enforceSchema", False).option("sep", mark)
-                .option("encoding", charset(encoding)).option("escape", '"').option("multiLine", multiline)
-                .option("inferSchema", not dtype_str))
-
-    groups: dict[tuple, list[str]] = {}
-    if same_header or len(files) == 1:
-        groups[()] = files
-    else:
-        for name in files:
-            header = reader(name).option("inferSchema", False).csv(name).columns
-            groups.setdefault((name.lower().endswith(".tsv"), *header), []).append(name)
+    def reader(tabs: bool, strict: bool):
+        return (spark.read.option("header", True).option("enforceSchema", not strict)
+                .option("sep", sep or ("\t" if tabs else ",")).option("encoding", charset(encoding))
+                .option("escape", '"').option("multiLine", multiline))
 
     missing = list(dict.fromkeys([*MISSING_TEXTS, *map(str, na_values)]))
 
-    def one(names: list[str]) -> DataFrame:
-        raw = reader(names[0]).csv(names)
-        values = [F.when(~col(f.name).isin(missing), col(f.name)).alias(f.name)
-                  if isinstance(f.dataType, T.StringType) else col(f.name) for f in raw.schema]
-        return raw.select(*values, F.col("_metadata.file_name").alias(SOURCE_FILE))
-    return union_by_name([one(names) for names in groups.values()])
+    def cleaned(raw: DataFrame) -> DataFrame:
+        return raw.select(*[F.when(~col(c).isin(missing), col(c)).alias(c) for c in raw.columns],
+                          F.col("_metadata.file_name").alias(SOURCE_FILE))
+
+    def parts() -> list[DataFrame]:
+        if same_header:
+            return [cleaned(reader(pattern.lower().endswith(".tsv"), True).csv(pattern))]
+        files = first_lines(spark, pattern)
+        # as many rows as there are distinct headers, each of which costs a scan
+        kinds = files.groupBy("tabs", "header").agg(F.min("path").alias("path")).orderBy("path").collect()
+        if len(kinds) < 2:
+            return [cleaned(reader(bool(kinds and kinds[0].tabs), True).csv(pattern))]
+        out = []
+        for kind in kinds:
+            names = reader(kind.tabs, True).csv(kind.path).schema
+            mine = files.where((F.col("tabs") == kind.tabs) & (F.col("header") == F.lit(bytes(kind.header))))
+            raw = reader(kind.tabs, False).schema(names).csv(pattern)
+            at = raw.select("*", F.col("_metadata.file_path").alias("__path"),
+                            F.col("_metadata.file_name").alias("__name"))
+            # values also hang on the file's side, by a column that no key stands for, so a later
+            # filter never sees those of files with another header
+            own = F.col("header").isNotNull()
+            kept = at.join(mine.select("path", "header"), F.col("path") == F.col("__path"))
+            out.append(kept.select(*[F.when(own & ~col(c).isin(missing), col(c)).alias(c) for c in names.names],
+                                   F.col("__name").alias(SOURCE_FILE)))
+        return out
+
+    df = union_by_name(parts())
+    return df if dtype_str else typed(df)
 
 
 def jdbc_options(url: str, table: str | None = None, query: str | None = None,

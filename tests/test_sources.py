@@ -19,6 +19,28 @@ def test_files_with_different_headers(spark, tmp_path):
     assert dict(typed.dtypes)["id"] == "int"
 
 
+def test_many_files_are_looked_up_in_one_job(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"f_{i}.csv").write_text("id,name\n" if i == 7 else
+                                             f"id,name\n{i},n{i}\n" if i % 2 else f"\nname,id\nn{i},{i}\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    df = readers.read_delimited(spark, f"{tmp_path}/f_*.csv")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) < 12
+    got = sorted((int(r.id), r.name, r[readers.SOURCE_FILE]) for r in df.collect())
+    assert got == [(i, f"n{i}", f"f_{i}.csv") for i in range(200) if i != 7]
+
+
+def test_types_over_all_files(spark, tmp_path):
+    (tmp_path / "t_1.csv").write_text("a,b,c,d,e,f\n1,1,true,2020-01-02,2020-01-02 10:00:00,\n")
+    (tmp_path / "t_2.csv").write_text("b,a,c,d,e,f\n1.5,NA,false,2020-02-30,2020-01-02,x\n")
+    df = readers.read_delimited(spark, f"{tmp_path}/t_*.csv", dtype_str=False).drop(readers.SOURCE_FILE)
+    assert dict(df.dtypes) == {"a": "int", "b": "double", "c": "boolean", "d": "string", "e": "string",
+                               "f": "string"}
+    assert sorted((r.a or 0, r.b) for r in df.collect()) == [(0, 1.5), (1, 1.0)]
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(DatasetError):
         readers.read_delimited(spark, f"{tmp_path}/none*.csv")
