@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from catalog.seeds import table
 from tallymark.operators import history
+from tallymark.session import shared_folder
+from tallymark.sources import sinks
 
 QUERIES, SQL = {}, {}
 
@@ -271,6 +273,17 @@ def regression_totals(s, d):
     return history.regression_totals(_runs(s, d))
 
 
+def _files():
+    """Evidence files of a check."""
+    file = lambda label, path, rows: F.struct(
+        F.lit(label).alias("label"), path.alias("path"), rows.alias("rows"))
+    stem = F.concat(F.lit("evidence/"), F.col("position").cast("string"))
+    one = file("Offenders", F.concat(stem, F.lit(".csv")), F.col("position"))
+    two = file("Duplicate keys", F.concat(stem, F.lit("_dup.csv")), F.col("position") * 2)
+    return F.when(F.col("status") == "FAIL", F.array(one, two)) \
+        .when(F.col("status") == "ERROR", F.array(one))
+
+
 @query("history_evidence", """
 SELECT run_id, suite, category, name AS check_name, status, target_table, label, path, rows
 FROM (SELECT *, 'Offenders' AS label, 'evidence/' || position || '.csv' AS path, position AS rows
@@ -278,11 +291,41 @@ FROM (SELECT *, 'Offenders' AS label, 'evidence/' || position || '.csv' AS path,
   UNION ALL SELECT *, 'Duplicate keys', 'evidence/' || position || '_dup.csv', position * 2
     FROM checks WHERE status = 'FAIL')""")
 def evidence(s, d):
-    file = lambda label, path, rows: F.struct(
-        F.lit(label).alias("label"), path.alias("path"), rows.alias("rows"))
-    stem = F.concat(F.lit("evidence/"), F.col("position").cast("string"))
-    one = file("Offenders", F.concat(stem, F.lit(".csv")), F.col("position"))
-    two = file("Duplicate keys", F.concat(stem, F.lit("_dup.csv")), F.col("position") * 2)
-    files = F.when(F.col("status") == "FAIL", F.array(one, two)) \
-        .when(F.col("status") == "ERROR", F.array(one))
-    return history.evidence(checks(s, d).withColumn("evidence", files))
+    return history.evidence(checks(s, d).withColumn("evidence", _files()))
+
+
+def _stored_rows(s, d):
+    """Check rows as a run writes them."""
+    return checks(s, d).select(
+        "run_id", "suite", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), "expected",
+        "position", "category", "name", "target_table", "status", "severity", "message",
+        F.create_map(F.lit("rows"), F.col("position").cast("string")).alias("metrics"), "rule_id",
+        F.lit(None).cast("string").alias("use_case"))
+
+
+@query("history_roundtrip", """
+SELECT run_id, suite, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS started_at, expected, position, category, name,
+  target_table, status, severity, message, CAST(position AS VARCHAR) AS metric_rows, rule_id FROM checks""")
+def roundtrip(s, d):
+    """Check rows added to a stored history by two writers, one after the other, and read back."""
+    folder = shared_folder(s)
+    for half in (0, 1):
+        sinks.write_checks(_stored_rows(s, d).where(F.crc32("run_id") % 2 == half), folder)
+    return sinks.read_checks(s, folder).withColumn("metric_rows", F.col("metrics")["rows"]).drop("metrics", "use_case")
+
+
+@query("history_documents", """
+SELECT run_id, member, name AS check_name, status, label, path, rows
+FROM (SELECT *, 'Offenders' AS label, 'evidence/' || position || '.csv' AS path, position AS rows
+    FROM checks WHERE status IN ('FAIL', 'ERROR')
+  UNION ALL SELECT *, 'Duplicate keys', 'evidence/' || position || '_dup.csv', position * 2
+    FROM checks WHERE status = 'FAIL')""")
+def documents(s, d):
+    """Evidence unfolded from nested documents, a file per run, below a folder per writer."""
+    folder = shared_folder(s)
+    check = F.struct("position", "name", "category", "target_table", "status", "severity", "message", "rule_id",
+                     _files().alias("evidence"))
+    (checks(s, d).groupBy("member", "run_id", "suite").agg(F.sort_array(F.collect_list(check)).alias("checks"))
+     .withColumn("of_run", F.col("run_id")).write.partitionBy("member", "of_run").json(folder))
+    flat = history.checks_of_documents(sinks.read_run_documents(s, folder))
+    return flat.select("run_id", "member", F.col("name").alias("check_name"), "status", F.inline("evidence"))

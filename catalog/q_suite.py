@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from catalog import seeds
 from catalog.seeds import table
 from tallymark.plans.suite import Suite
+from tallymark.session import shared_folder
+from tallymark.sources import sinks
 from tallymark.sources.connections import frames_connection
 from tallymark.spec import mapping_from_dict, tab_from_dict
 
@@ -74,6 +76,27 @@ QUERIES["check_isolation"] = lambda s, d: suite(s, d).run(
     "rule_id", "status", F.col("metrics")["checked_rows"].alias("checked_rows"),
     F.col("metrics")["violations"].alias("violations"))
 
+
+
+def _samples(s, d):
+    """Sample rows that a run leaves beside its history: of each failed rule at most a hundred."""
+    folder = shared_folder(s)
+    suite(s, d).run(["business_rules"], ["orders_dim"], f"{folder}/history", f"{folder}/evidence")
+    key = F.get_json_object("sample", "$.o_orderkey").cast("bigint")
+    return sinks.read_samples(s, f"{folder}/history/samples").select(
+        F.substring("check_name", 1, 4).alias("rule"), key.alias("o_orderkey"))
+
+
+QUERIES["suite_samples"] = _samples
+SQL["suite_samples"] = f"""WITH {seeds.ORDERS_PAIR_SQL},
+o AS (SELECT '[B1]' AS rule, o_orderkey FROM tgt WHERE o_totalprice < 1
+  UNION ALL SELECT '[B1]', o_orderkey FROM tgt WHERE o_totalprice IS NULL
+  UNION ALL SELECT '[B2]', o_orderkey FROM tgt WHERE {seeds.sql_nullish('o_orderpriority')}
+  UNION ALL SELECT '[B3]', o_orderkey FROM tgt
+    WHERE o_orderkey IN (SELECT o_orderkey FROM tgt GROUP BY 1 HAVING count(*) > 1))
+SELECT rule, o_orderkey FROM o
+QUALIFY row_number() OVER (PARTITION BY rule ORDER BY CAST(o_orderkey AS VARCHAR)) <= 100"""
+
 SQL["check_isolation"] = f"""WITH {seeds.ORDERS_PAIR_SQL},
 n AS (SELECT count(*) AS rows, count(*) FILTER (o_totalprice IS NULL OR o_totalprice < 1) AS low,
   count(*) FILTER ({seeds.sql_nullish('o_orderpriority')}) AS nulls FROM tgt),

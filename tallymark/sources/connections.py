@@ -31,12 +31,30 @@ def files_connection(spark: SparkSession, base_dir: str = ".") -> Connection:
     return read
 
 
+def count_query(ds: Dataset) -> str | None:
+    """A query by which a database counts a dataset itself, as ``row_total``; None where a filter, which
+    is Spark SQL, would have to be put into its own dialect."""
+    if ds.where or not (ds.query or ds.table):
+        return None
+    return f"SELECT COUNT(*) AS row_total FROM {f'({ds.query}) q' if ds.query else ds.table}"
+
+
 def jdbc_connection(spark: SparkSession, url: str, **options: object) -> Connection:
-    """Tables and queries of a database; filters and column choice are pushed down."""
+    """Tables and queries of a database; filters and column choice are pushed down.
+
+    ``row_total`` of the connection has a dataset counted where it lies.
+    """
     def read(ds: Dataset) -> DataFrame:
         df = read_jdbc(spark, url, table=None if ds.query else ds.table, query=ds.query,
                        **{**options, **dict(ds.options)})
         return pick_columns(filtered(df, ds.where), ds.columns)
+
+    def row_total(ds: Dataset) -> DataFrame | None:
+        query = count_query(ds)
+        ranges = ("partition_column", "lower", "upper", "partitions")
+        plain = {k: v for k, v in {**options, **dict(ds.options)}.items() if k not in ranges}
+        return query and read_jdbc(spark, url, query=query, **plain)
+    read.row_total = row_total
     return read
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.session import stored
+
 PREVIEW_ROWS = 500
+SAMPLE_ROWS = 100
 
 CHECK_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("suite", T.StringType()),
@@ -81,9 +85,36 @@ def read_listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(EVIDENCE_SCHEMA).json(folder).where("path IS NOT NULL")
 
 
+def samples(spark: SparkSession, listing: Sequence[tuple], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The first rows, by all columns, of every listed evidence file, each as JSON.
+
+    Files are read as text, and their rows are cut to ``rows`` inside the tasks before they are sorted out.
+    """
+    frames = []
+    for entry in listing:
+        run_id, _, category, check, *_, path, _ = entry
+        found = spark.read.option("header", True).option("escape", '"').csv(path)
+        first = found.orderBy(*[F.col(f"`{c}`") for c in found.columns]).limit(rows)
+        frames.append(first.select(*[F.lit(v).alias(n) for n, v in (
+            ("run_id", run_id), ("category", category), ("check_name", check), ("path", path))],
+            F.to_json(F.struct("*")).alias("sample")))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def write_samples(found: DataFrame, folder: str) -> None:
+    """Sample rows of a run, added to the history."""
+    found.write.mode("append").json(folder)
+
+
+def read_samples(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("run_id", "category", "check_name", "path", "sample")
+    return spark.read.schema(", ".join(f"{n} string" for n in names)).json(folder).where("path IS NOT NULL")
+
+
 def write_checks(checks: DataFrame, folder: str, format: str = "json") -> None:
-    """Check rows of a run, added to the history, a folder per run."""
-    checks.write.mode("append").partitionBy("run_id").format(format).save(folder)
+    """Check rows of a run, added to the history, a folder per day on which runs started."""
+    (checks.withColumn("day", F.substring("started_at", 1, 10)).write.mode("append").partitionBy("day")
+     .format(format).save(folder))
 
 
 def write_runs(runs: DataFrame, folder: str) -> None:
@@ -101,7 +132,7 @@ def read_checks(spark: SparkSession, folder: str, format: str = "json") -> DataF
     reader = spark.read.schema(CHECK_SCHEMA).option("basePath", folder)
     if format == "json":
         reader = reader.option("mode", "PERMISSIVE")
-    return reader.format(format).load(folder).where("name IS NOT NULL")
+    return reader.format(format).load(folder).where("name IS NOT NULL").drop("day")
 
 
 def read_run_documents(spark: SparkSession, pattern: str) -> DataFrame:
@@ -114,7 +145,12 @@ def read_run_documents(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The first rows with the ``preview_total`` of all and whether some were left out."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.limit(rows).withColumn("preview_total", total).withColumn(
+    """The first rows, by all columns, with the ``preview_total`` of all and whether some were left out.
+
+    The rows are settled once, so what made them does not run again to be counted.
+    """
+    settled = stored(df)
+    total = settled.agg(F.count(F.lit(1))).scalar()
+    first = settled.orderBy(*[F.col(f"`{c}`") for c in df.columns]).limit(rows)
+    return first.withColumn("preview_total", total).withColumn(
         "preview_truncated", F.col("preview_total") > rows)

@@ -1,7 +1,8 @@
 import pytest
 
+from tallymark.operators.checks import row_count
 from tallymark.sources import readers, sinks
-from tallymark.sources.connections import connect, jdbc_settings
+from tallymark.sources.connections import connect, count_query, jdbc_settings
 from tallymark.sources.readers import Dataset, DatasetError
 
 
@@ -64,6 +65,18 @@ def test_jdbc_options():
         readers.jdbc_options("u", "t", partition_column="id")
 
 
+def test_databases_count_by_themselves():
+    assert count_query(Dataset(table="d.s.t")) == "SELECT COUNT(*) AS row_total FROM d.s.t"
+    assert count_query(Dataset(table="t", query="select 1")) == "SELECT COUNT(*) AS row_total FROM (select 1) q"
+    assert count_query(Dataset(table="t", where="a > 1")) is None
+
+
+def test_row_count_of_a_counted_side(spark):
+    given = spark.range(1).selectExpr("7 AS row_total")
+    row = row_count(spark.range(0), spark.range(3), (given, None)).first()
+    assert (row.source_rows, row.target_rows, row.difference, row.status) == (7, 3, -4, "FAIL")
+
+
 def test_encoding(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("id;name\n1;Zoë\n".encode("latin-1"))
     df = readers.read_delimited(spark, f"{tmp_path}/l.csv", sep=";", encoding="latin1")
