@@ -142,3 +142,16 @@ def test_keys_are_never_cut(spark):
                                   "k decimal(20,12), v int")
     texts = exact.selectExpr("cast(k as string) k", "v")
     assert keyed_diff(texts, exact, ["k"]).summary().first()["matched_keys"] == 2
+
+
+def test_fixed_width_values_need_no_sort(spark):
+    one = spark.range(20).selectExpr("id", "cast(id as double) AS amount", "id % 3 = 0 AS flag",
+                                     "date_add(date '2024-01-01', cast(id as int)) AS day")
+    two = one.selectExpr("id", "amount + if(id = 4, 1, 0) AS amount", "flag", "if(id = 5, null, day) AS day")
+    diff = keyed_diff(one, two, ["id"])
+    plan = diff.totals()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+    assert sorted((r.id, r.column) for r in diff.cells().collect()) == [("4", "amount"), ("5", "day")]
+    bare = keyed_diff(one, two, ["id"], [])
+    assert "SortAggregate" not in bare.totals()._jdf.queryExecution().executedPlan().toString()
+    assert bare.summary().first().matched_keys == 20
