@@ -183,28 +183,30 @@ def _crossed(percent: int):
 
     First the signatures must agree often enough; then an upper bound of the similarity, from the low
     16 bits of all shingles, must reach the wanted one, which leaves hardly a pair that the full sets
-    do not confirm. A pair is taken up in the first band that it shares only.
+    do not confirm. A pair is taken up only in the first band whose whole key, as the buckets have it,
+    both have: signatures hold a byte of each minimum, and bytes may agree where minima do not.
     """
     least = _agreement(percent)
 
     def side(table, name):
         columns = {c: table.column(name + c) for c in ("node", "component", "signature", "low")}
         low = [np.frombuffer(x.as_buffer(), np.uint16) for x in columns["low"]]
+        bands = np.concatenate([x.flatten().to_numpy() for x in table.column(name + "bands").chunks])
         return (columns["node"].to_numpy(), columns["component"].to_numpy(), low, np.array([len(x) for x in low]),
-                np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(-1, _SIZE))
+                np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(-1, _SIZE),
+                bands.reshape(-1, BANDS))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out, marks = [np.zeros((2, 0), np.int64)], np.zeros(65536, bool)
         if left.num_rows and right.num_rows:
-            number = left.column("number")[0].as_py()
-            nodes_l, comps_l, low_l, size_l, sigs_l = side(left, "")
-            nodes_r, comps_r, low_r, size_r, sigs_r = side(right, "r_")
-            for node, comp, low, size, sig in zip(nodes_l, comps_l, low_l, size_l, sigs_l):
+            band = left.column("band")[0].as_py()
+            nodes_l, comps_l, low_l, size_l, sigs_l, bands_l = side(left, "")
+            nodes_r, comps_r, low_r, size_r, sigs_r, bands_r = side(right, "r_")
+            for node, comp, low, size, sig, keys in zip(nodes_l, comps_l, low_l, size_l, sigs_l, bands_l):
                 fit = 100 * np.minimum(size, size_r) >= percent * np.maximum(size, size_r)
                 rows = np.flatnonzero((comps_r != comp) & fit)
-                same = sigs_r[rows] == sig
-                first = same.reshape(-1, BANDS, BAND_ROWS).all(2).argmax(1) == number
-                near = rows[(same.sum(1) >= least) & first]
+                near = rows[(sigs_r[rows] == sig).sum(1) >= least]
+                near = near[keys[(bands_r[near] == keys).argmax(1)] == band]
                 if not len(near):
                     continue
                 marks[low] = True
@@ -265,7 +267,7 @@ class _Search:
         self.classes = stored(some.groupBy("sequence").agg(F.min("doc_id").alias("node")))
         heads = some.withColumnRenamed("doc_id", "node").join(self.classes.select("node"), "node", "left_semi")
         self.nodes = stored(heads.select("node", "signature", "bands").dropDuplicates(["node"]))
-        keys = self.nodes.select("node", F.posexplode("bands").alias("number", "band"))
+        keys = self.nodes.select("node", F.explode("bands").alias("band"))
         buckets = stored(keys.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
                          .where("n > 1").select("band", "pivot"))
         self.members = stored(keys.join(_sized(buckets), "band"))
@@ -273,7 +275,7 @@ class _Search:
         texts = (self.docs.withColumnRenamed("doc_id", "node").join(_sized(inside), "node", "left_semi"))
         self.sets = stored(texts.mapInArrow(_with_sets, "node long, shingles binary, low binary")
                            .dropDuplicates(["node"]))
-        self.signatures = stored(self.nodes.select("node", "signature")
+        self.signatures = stored(self.nodes.select("node", "signature", "bands")
                                  .join(self.sets.select("node", "low"), "node"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -295,8 +297,8 @@ class _Search:
 
     def with_components(self, found: DataFrame) -> DataFrame:
         """Members with the component they belong to so far."""
-        return self.members.select("band", "number", "node").join(found, "node", "left").select(
-            "band", "number", "node", F.coalesce("component", "node").alias("component"))
+        return self.members.select("band", "node").join(found, "node", "left").select(
+            "band", "node", F.coalesce("component", "node").alias("component"))
 
     def open_members(self, found: DataFrame) -> DataFrame:
         """Members of buckets of several components, and which of those is the largest."""
@@ -310,10 +312,10 @@ class _Search:
 
     def cross_pairs(self, members: DataFrame) -> DataFrame:
         """Candidate pairs across components: blocks of the outside against blocks of all."""
-        signed = members.join(self.signatures, "node")
+        signed = members.join(self.signatures, "node")  # with all bands, to tell the first that a pair shares
         here = F.pmod(F.xxhash64("node"), F.lit(2 ** 31))
         n_left, n_right = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("outside", "n"))
-        columns = ("number", "node", "component", "signature", "low")
+        columns = ("node", "component", "signature", "low", "bands")
         left = (signed.where("component != largest")
                 .select("band", *columns, F.pmod(here, n_left).cast("int").alias("i"),
                         F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j")))

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from compare_oracle import TABLES, rows_of
@@ -274,6 +275,27 @@ def test_near_duplicates_of_a_drifting_group(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pair_whose_bytes_agree_in_an_earlier_band():
+    """Bands 0 to 2 agree in the low bytes of their minima only, band 3 wholly: the pair is taken up there."""
+    sets = [np.arange(1, 101, dtype=np.uint64)] * 2
+    one = minhash.minima(sets)[0]
+    two = one.copy()
+    two[:3 * minhash.BAND_ROWS:minhash.BAND_ROWS] += np.uint32(256)
+    keys = [minhash.band_keys(x) for x in (one, two)]
+    shared = np.flatnonzero(keys[0] == keys[1])
+    assert shared[0] == 3 and len(shared) > 1
+    low = sets[0].astype(np.uint16).tobytes()
+    tables = [pa.table({"node": [i], "component": [i], "signature": [x.astype(np.uint8).tobytes()], "low": [low],
+                        "bands": pa.array([k.tolist()], pa.list_(pa.int64()))}) for i, (x, k) in enumerate(zip((one, two), keys))]
+    found = []
+    for number in shared.tolist():
+        left, right = (t.append_column("band", pa.array([int(keys[0][number])])).append_column("number", pa.array([number]))
+                       for t in tables)
+        right = right.rename_columns([f"r_{c}" for c in right.column_names])
+        found.append(minhash._crossed(85)(left, right).num_rows)
+    assert found == [1] + [0] * (len(found) - 1)
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
