@@ -11,7 +11,9 @@ So every candidate pair is decided unless its ends are linked already, and no gr
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +23,41 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import BROADCAST_ROWS, slices, stored, words
 
 WIDTH, PERCENT = 5, 85
-#: BANDS of BAND_ROWS minima: at 0.85 a pair shares no band with probability 2.6e-7.
-BANDS, BAND_ROWS = 32, 6
-#: Minima that agree, in standard errors below the wanted similarity, for a pair to be confirmed.
-SIGMAS = 5.0
+#: Probability at most that a pair of just the wanted similarity shares no band, or too few minima.
+MISSED = 3e-7
+#: Minima of a signature, and of a band, at most; a similarity that needs more takes bands of one.
+MINIMA, ROWS = 200, 16
 #: Shingles that are hashed at once, and members of a block of a bucket.
 PIECE, BLOCK = 16_384, 512
-_SIZE = BANDS * BAND_ROWS
-_RNG = np.random.default_rng(20240229)
-_FACTORS = _RNG.integers(1, 2 ** 63, _SIZE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_SHIFTS = _RNG.integers(0, 2 ** 63, _SIZE, dtype=np.uint64)
-_WORD_FACTORS = _RNG.integers(1, 2 ** 63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_WORD_FACTORS = np.random.default_rng(20240229).integers(1, 2 ** 63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 CACHE = 300_000
 
 
+@functools.cache
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and minima in each for a wanted similarity: the most selective that miss no more than MISSED."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"a similarity of {percent} percent cannot be searched for")
+    for rows in range(ROWS, 0, -1):
+        agree = (percent / 100) ** rows
+        bands = 1 if agree == 1 else math.ceil(math.log(MISSED) / math.log1p(-agree))
+        if bands * rows <= MINIMA or rows == 1:
+            return bands, rows
+
+
+#: At the usual similarity: a pair shares no band with probability 2.6e-7.
+BANDS, BAND_ROWS = banding(PERCENT)
+
+
+@functools.cache
+def _hashes(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of so many universal hashes."""
+    rng = np.random.default_rng(20240301)
+    return (rng.integers(1, 2 ** 63, size, dtype=np.uint64) << np.uint64(1) | np.uint64(1),
+            rng.integers(0, 2 ** 63, size, dtype=np.uint64))
+
+
 class Shingler:
     """Sorted distinct 64-bit fingerprints of a text's word shingles."""
 
@@ -68,12 +90,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], size: int = BANDS * BAND_ROWS) -> np.ndarray:
     """Per set of shingles the smallest value of each multiply-add-shift hash, as 32 bits.
 
     No set may be empty. Sets are hashed together up to PIECE shingles, which stay in the cache.
     """
-    out, lo = np.empty((len(sets), _SIZE), np.uint32), 0
+    (factors, shifts), out, lo = _hashes(size), np.empty((len(sets), size), np.uint32), 0
     while lo < len(sets):
         hi, total = lo, 0
         while hi < len(sets) and (hi == lo or total + len(sets[hi]) <= PIECE):
@@ -81,17 +103,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
             hi += 1
         flat = np.concatenate(sets[lo:hi])
         starts = np.cumsum([0, *map(len, sets[lo:hi - 1])])
-        for k in range(_SIZE):
-            out[lo:hi, k] = np.minimum.reduceat(flat * _FACTORS[k] + _SHIFTS[k], starts) >> np.uint64(32)
+        for k in range(size):
+            out[lo:hi, k] = np.minimum.reduceat(flat * factors[k] + shifts[k], starts) >> np.uint64(32)
         lo = hi
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key per band."""
-    rows = signature.reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(BAND_ROWS):
+    rows = signature.reshape(bands, -1).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows.shape[1]):
         key = _mixed(key * _WORD_FACTORS[k] + rows[:, k])
     return key.view(np.int64)
 
@@ -100,26 +122,31 @@ _MAPPED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("seque
                      ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _signed(batches):
+def _signed(percent: int):
     """Per document: set size, digest of the word sequence, signature (a byte of each minimum), bands."""
-    shingler = Shingler()
-    for batch in batches:
-        ids, at = batch.column("doc_id"), 0
-        for held in slices(batch.column("text")):
-            found = [words(t) for t in held]
-            sets = [shingler.fingerprints(w) for w in found]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            signatures = dict(zip(some, minima([sets[i] for i in some])))
-            rows = []
-            for i, (w, s) in enumerate(zip(found, sets)):
-                row = {"doc_id": ids[at + i].as_py(), "n_shingles": len(s)}
-                if i in signatures:
-                    row |= {"sequence": hashlib.blake2b(b" ".join(w), digest_size=16).digest(),
-                            "signature": signatures[i].astype(np.uint8).tobytes(),
-                            "bands": band_keys(signatures[i]).tolist()}
-                rows.append(row)
-            at += len(held)
-            yield pa.RecordBatch.from_pylist(rows, _MAPPED)
+    bands, band_rows = banding(percent)
+
+    def work(batches):
+        shingler = Shingler()
+        for batch in batches:
+            ids, at = batch.column("doc_id"), 0
+            for held in slices(batch.column("text")):
+                found = [words(t) for t in held]
+                sets = [shingler.fingerprints(w) for w in found]
+                some = [i for i, s in enumerate(sets) if len(s)]
+                signatures = dict(zip(some, minima([sets[i] for i in some], bands * band_rows)))
+                rows = []
+                for i, (w, s) in enumerate(zip(found, sets)):
+                    row = {"doc_id": ids[at + i].as_py(), "n_shingles": len(s)}
+                    if i in signatures:
+                        row |= {"sequence": hashlib.blake2b(b" ".join(w), digest_size=16).digest(),
+                                "signature": signatures[i].astype(np.uint8).tobytes(),
+                                "bands": band_keys(signatures[i], bands).tolist()}
+                    rows.append(row)
+                at += len(held)
+                yield pa.RecordBatch.from_pylist(rows, _MAPPED)
+
+    return work
 
 
 def _with_sets(batches):
@@ -136,10 +163,15 @@ def _with_sets(batches):
             at += len(held)
 
 
-def _agreement(percent: int) -> float:
-    """Signature bytes that must agree: SIGMAS standard errors under what the similarity gives."""
-    wanted = percent / 100
-    return _SIZE * wanted - SIGMAS * (_SIZE * wanted * (1 - wanted)) ** 0.5
+def _agreement(percent: int) -> int:
+    """Signature bytes that must agree: of minima that agree with the wanted similarity, fewer do with MISSED at most."""
+    size, wanted = math.prod(banding(percent)), percent / 100
+    total = 0.0
+    for least in range(size + 1):
+        total += math.comb(size, least) * wanted ** least * (1 - wanted) ** (size - least)
+        if total > MISSED:
+            return least
+    return size
 
 
 def _likely(percent: int):
@@ -150,8 +182,8 @@ def _likely(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _SIZE)
-                        for c in ("sig_a", "sig_b"))
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)
+                        .reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             keep = pa.array((one == two).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)],
                                              names=["a", "b"])
@@ -193,8 +225,8 @@ def _crossed(percent: int):
         low = [np.frombuffer(x.as_buffer(), np.uint16) for x in columns["low"]]
         bands = np.concatenate([x.flatten().to_numpy() for x in table.column(name + "bands").chunks])
         return (columns["node"].to_numpy(), columns["component"].to_numpy(), low, np.array([len(x) for x in low]),
-                np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(-1, _SIZE),
-                bands.reshape(-1, BANDS))
+                np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(len(low), -1),
+                bands.reshape(len(low), -1))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out, marks = [np.zeros((2, 0), np.int64)], np.zeros(65536, bool)
@@ -262,7 +294,7 @@ class _Search:
         self.percent = percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.mapped = stored(self.docs.mapInArrow(
-            _signed, "doc_id long, n_shingles long, sequence binary, signature binary, bands array<long>"))
+            _signed(percent), "doc_id long, n_shingles long, sequence binary, signature binary, bands array<long>"))
         some = self.mapped.where("doc_id is not null and n_shingles > 0")
         self.classes = stored(some.groupBy("sequence").agg(F.min("doc_id").alias("node")))
         heads = some.withColumnRenamed("doc_id", "node").join(self.classes.select("node"), "node", "left_semi")

@@ -296,6 +296,19 @@ def test_pair_whose_bytes_agree_in_an_earlier_band():
     assert found == [1] + [0] * (len(found) - 1)
 
 
+def test_near_duplicates_at_another_similarity(spark):
+    """Pairs of just 0.5 share bands of 6 minima seldom: bands follow the similarity."""
+    common.on_path(spark)
+    rows = []
+    for i in range(15):
+        words = [f"w{i}x{k}" for k in range(64)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:44] + [f"v{i}x{k}" for k in range(20)]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()
+    want = brute_components(rows, 50)
+    assert len({c for _, c in want.values()}) == 15
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
