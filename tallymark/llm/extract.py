@@ -2,7 +2,8 @@
 
 The markup becomes a light tree of elements. Paragraphs pass points for length and commas to their
 ancestors, discounted by link density; the best container and those siblings that score or read like
-it are kept, and their blocks make the text.
+it are kept, and their blocks make the text. Beside a container that no name marks as the article, all
+siblings of few links are kept, however short.
 """
 
 from __future__ import annotations
@@ -249,11 +250,12 @@ def main_text(page: str | None) -> str:
     top = max(touched.values(), key=value)
     kept = {id(top)}
     if top.parent is not None:
-        least = max(10.0, SIBLING_SHARE * value(top))
+        least = SIBLING_SHARE * value(top)
         for item in top.parent.items:
             if isinstance(item, Node) and not item.drop and item is not top and item.chars:
                 density = item.linked / item.chars
-                reads = (item.tag in ("p", "pre", "blockquote") or item.tag in HEADINGS) and density < 0.25
+                # beside a container that nothing marks, every other one may hold a part of the article
+                reads = (not top.hint or item.tag in ("p", "pre", "blockquote") or item.tag in HEADINGS) and density < 0.25
                 if reads or id(item) in touched and value(item) >= least:
                     kept.add(id(item))
     picked = []

@@ -110,6 +110,16 @@ def test_extract_takes_the_article():
     assert len(extract.main_text("<p>" + "a, " * 400_000)) == 3 * 400_000 - 1
 
 
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("paragraphs", [3, 30])
+def test_extract_takes_all_parts_of_a_split_article(tag, paragraphs):
+    long, short = "One, two, three, four " + "and so on " * 30, "A last, short, part, of it, all."
+    page = (f"<body><nav><a>m</a></nav><{tag}>" + f"<p>{long}</p>" * paragraphs + f"</{tag}><{tag}><p>{short}</p></{tag}>"
+            f"<{tag} class=sidebar><p>Not, wanted, here, at, all.</p></{tag}><{tag}><a>More, more, and, more</a></{tag}>"
+            f"<{tag}>The end.</{tag}></body>")
+    assert extract.main_text(page) == "\n\n".join([long.strip()] * paragraphs + [short, "The end."])
+
+
 def test_extract_whole_table(spark, con):
     for page_id, _, text, n in QUERIES["op2_extract"](spark, SF_DIR).collect():
         page = con.execute("SELECT html FROM pages WHERE page_id = ?", [page_id]).fetchone()[0]
