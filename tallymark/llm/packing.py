@@ -98,8 +98,9 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        # a text of words with one space or line end between any two needs no closer look
-        plain = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        # a text of words with one space or line end between any two, and no other white space, needs no closer look
+        found, parted = text.split(), text.count(" ") + text.count("\n")
+        plain = len(found) == parted + 1 and len(text) == parted + sum(map(len, found))
         if SPECIAL in text or not plain and (_MIXED_SPACE.search(text) or text.isspace()):
             return self._ids(text).tobytes()
         if len(self.known) + len(self.heads) > CACHE:

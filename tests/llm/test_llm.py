@@ -372,6 +372,12 @@ def test_chunked_encoding_equals_whole(text):
     assert encoder.encode(text) == want == encoder.encode(text)
 
 
+@pytest.mark.parametrize("text", ["a\tb\tc\n\n\nd", "a\tb\tc\n\n", "a\u3000b\u3000c  d", "a\tb\n\t\tc\td\n\n\n\n"])
+def test_other_white_space_does_not_hide_line_ends(text):
+    encoder = packing.Encoder()
+    assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_patterns_place_every_length():
     rng = np.random.default_rng(4)
     for _ in range(100):
