@@ -168,23 +168,42 @@ def _descend(index, value, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, b
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins of texts that the weights have not seen."""
+def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through margins of texts that the weights have not seen.
+
+    Rows count by ``weight``, whose mean is 1. Newton's steps are halved until the loss falls, since
+    full ones run away over wide margins.
+    """
     a, b = 1.0, 0.0
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(a, b):
+        z = a * margin + b
+        return (weight * (np.logaddexp(0, z) - target * z)).mean() + PRIOR / 2 * ((a - 1) ** 2 + b ** 2)
+
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
         e, v = p - target, np.maximum(p * (1 - p), 1e-6)
+        e, v = weight * e, weight * v
         g = np.array([(e * margin).mean() + PRIOR * (a - 1), e.mean() + PRIOR * b])
         h = np.array([[(v * margin ** 2).mean() + PRIOR, (v * margin).mean()], [(v * margin).mean(), v.mean() + PRIOR]])
         step = np.linalg.solve(h, g)
-        a, b = a - 0.5 * step[0], b - 0.5 * step[1]
+        part, now = 1.0, loss(a, b)
+        while part > 1e-9 and loss(a - part * step[0], b - part * step[1]) >= now:
+            part /= 2
+        if part <= 1e-9:
+            break
+        a, b = a - part * step[0], b - part * step[1]
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model:
+def fit(texts: list[str], y: np.ndarray, labelled: tuple[int, int] | None = None) -> Model:
     """Weights from all texts; their calibration from FOLDS-fold held-out margins.
 
+    ``labelled`` are all bad and all good labels that the texts were taken from: each class counts in
+    the calibration as by its share of these, so that a probability means the same however few of a
+    class were taken.
+
     Without labels of both kinds the model is constant: probability 1 where no label is bad (or there
     is none), 0 where all are.
     """
@@ -198,14 +217,17 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         w, b = _descend([index[i] for i in train], [value[i] for i in train], y[train])
         held[test] = [float(value[i] @ w[index[i]]) + b for i in test]
-    slope, shift = _platt(held, y)
+    share = y.mean() if labelled is None else labelled[1] / sum(labelled)
+    slope, shift = _platt(held, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     w, b = _descend(index, value, y)
     return Model(w[:1 << WORD_BITS].astype(np.float32), w[1 << WORD_BITS:].astype(np.float32), float(b), slope, shift)
 
 
 def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     texts, y, _, _ = labelled_sample(docs, labels, "quality", FIT_ROWS, FIT_CHARS)
-    return fit(texts, y)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("__y")).where("__y in (0, 1)")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return fit(texts, y, tuple(known.agg(F.count_if(F.expr("__y = 0")), F.count_if(F.expr("__y = 1"))).first()))
 
 
 FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(),

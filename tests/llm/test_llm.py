@@ -210,6 +210,30 @@ def test_quality_separates_held_out_labels(con):
     assert auc(p, np.array([y for _, y in rows[half:]])) > 0.9
 
 
+def test_quality_means_the_same_when_a_class_is_cut(spark, monkeypatch):
+    """Two kinds of text, 95% and 30% of them good: the verdict does not move with the bound of the sample."""
+    common.on_path(spark)
+    kinds = ["calm words of a good page that reads well", "buy cheap stuff now click here to win"]
+    weights = quality._descend(*quality._rows(kinds), np.array([1.0, 0.0]))
+    weights = weights[0] / 20, weights[1]
+    monkeypatch.setattr(quality, "_descend", lambda *_: weights)
+    rows = [(i, kinds[i % 5 == 4], "en", int(i // 5 % 10 < 3) if i % 5 == 4 else int(i // 5 % 20 > 0)) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    found = []
+    for bound in (1000, 150):
+        monkeypatch.setattr(quality, "FIT_ROWS", bound)
+        model = quality.fit_model(table.drop("quality"), table.select("doc_id", "quality"))
+        found.append(quality._start((model, quality.THRESHOLD))(kinds)[6])
+    assert np.allclose(*found, atol=0.1)
+
+
+def test_calibration_does_not_run_away_over_wide_margins():
+    margin, y = np.repeat([30.0, -30.0, 30.0, -30.0], [760, 140, 40, 60]), np.repeat([1.0, 0.0, 0.0, 1.0], [760, 140, 40, 60])
+    slope, shift = quality._platt(margin, y, np.ones(1000))
+    p = 1 / (1 + np.exp(-(slope * np.array([30, -30]) + shift)))
+    assert np.allclose(p, [0.95, 0.3], atol=0.05)
+
+
 # URLs and top-k
 
 def test_url_rules_and_vocabulary():
