@@ -2,8 +2,8 @@
 
 Trained in numpy on a bounded sample of labelled rows. A word's vector is the sum of the vectors of
 its hashed whole form and hashed beginnings. Filters of one to three words slide over the whole text,
-their maxima feed one logistic unit. A threshold is calibrated for each language; the language of a
-text is itself guessed from its hashed words, so that a score depends on the text alone.
+their maxima feed one logistic unit. A threshold is calibrated for each language, on all rows that may be
+learnt from; the language of a text is itself guessed from its hashed words, so that a score depends on the text alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import batch_column, labelled_sample
+from tallymark.llm.common import BROADCAST_ROWS, batch_column, labelled_sample, stored
 
 #: Rows of each class, and characters of a text, that the fit takes at most.
 FIT_ROWS, FIT_CHARS = 900, 12_000
@@ -29,6 +29,8 @@ EPOCHS, BATCH, RATE, DECAY, WORD_DROP = 10, 32, 0.15, 1e-3, 0.25
 MIN_TEXTS = 3
 #: Language thresholds are drawn towards the common one as by this many toxic texts.
 SHRINK = 20
+#: Steps of the margin histogram, and margins at which it ends.
+STEP, MOST = 1 / 64, 512
 CACHE = 200_000
 #: Words of a text whose filters are evaluated at once.
 PIECE = 32_768
@@ -222,22 +224,27 @@ def _calibrate(model: Model, texts, found, y, languages) -> None:
         model.language_words[0] = 0
     scorer = Scorer(model)
     margins, tongues = map(np.array, zip(*map(scorer.margin_and_tongue, texts)))
-    common = _threshold(margins, y)
-    model.thresholds = np.full(max(1, len(names)), common)
-    for k in range(len(names)):
+    _settle(model, margins, tongues, 1 - y, y)
+
+
+def _settle(model: Model, margins, tongues, fine, toxic) -> None:
+    """One threshold per guessed language from margins with their numbers of fine and of toxic texts."""
+    common = _threshold(margins, fine, toxic)
+    model.thresholds = np.full(max(1, len(model.languages)), common)
+    for k in range(len(model.languages)):
         mine = tongues == k
-        toxic = y[mine].sum()
-        if toxic and toxic < mine.sum():
-            share = toxic / (toxic + SHRINK)
-            model.thresholds[k] = share * _threshold(margins[mine], y[mine]) + (1 - share) * common
+        n = toxic[mine].sum()
+        if n and fine[mine].sum():
+            share = n / (n + SHRINK)
+            model.thresholds[k] = share * _threshold(margins[mine], fine[mine], toxic[mine]) + (1 - share) * common
 
 
-def _threshold(margins: np.ndarray, y: np.ndarray) -> float:
+def _threshold(margins: np.ndarray, fine: np.ndarray, toxic: np.ndarray) -> float:
     """The cut with the best sum of both classes' hit rates, in the middle of its gap."""
-    order = np.argsort(margins)
-    m, t = margins[order], y[order]
-    below = np.concatenate([[0], np.cumsum(1 - t)]) / (1 - t).sum()
-    above = 1 - np.concatenate([[0], np.cumsum(t)]) / t.sum()
+    m, at = np.unique(margins, return_inverse=True)
+    fine, toxic = np.bincount(at, fine), np.bincount(at, toxic)
+    below = np.concatenate([[0], np.cumsum(fine)]) / fine.sum()
+    above = 1 - np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
     gain = below + above
     good = np.flatnonzero(gain >= gain.max() - 1e-12)
     edges = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
@@ -245,10 +252,40 @@ def _threshold(margins: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of labels whose crc32(doc_id as text) mod 5 is not 0."""
+    """Fit on a bounded sample of labels whose crc32(doc_id as text) mod 5 is not 0; thresholds from all of them."""
     learn = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     texts, y, _, languages = labelled_sample(docs, learn, "toxic", FIT_ROWS, FIT_CHARS)
-    return fit(texts, y, languages)
+    model = fit(texts, y, languages)
+    if model.languages or model.language_words is not None:
+        _calibrate_on_all(model, docs, learn)
+    return model
+
+
+def _calibrate_on_all(model: Model, docs: DataFrame, learn: DataFrame) -> None:
+    """Thresholds from the margins of all labelled texts, of any length, as a histogram per guessed language."""
+    known = stored(learn.select("doc_id", F.col("toxic").cast("int").alias("__y")).where("__y in (0, 1)"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    payload = docs.sparkSession.sparkContext.broadcast(model)
+    rows = (docs.select("doc_id", "text").where(F.length("text") > 0).join(known, "doc_id")
+            .select("__y", batch_column(F.col("text"), "step long, tongue long", _MARGINS, _start_margins, payload)
+                    .alias("__at"))
+            .groupBy("__at.step", "__at.tongue").agg(F.sum(1 - F.col("__y")), F.sum("__y"))
+            .collect())  # at most 2 * MOST / STEP + 1 rows per language
+    steps, tongues, fine, toxic = (np.array(x) for x in zip(*map(tuple, rows)))
+    _settle(model, steps * STEP, tongues, fine, toxic)
+
+
+_MARGINS = {"step": pa.int64(), "tongue": pa.int64()}
+
+
+def _start_margins(model):
+    scorer = Scorer(model)
+
+    def work(texts):
+        margins, tongues = zip(*map(scorer.margin_and_tongue, texts))
+        return np.rint(np.clip(margins, -MOST, MOST) / STEP).astype(np.int64), np.array(tongues, np.int64)
+
+    return work
 
 
 def _start(model):

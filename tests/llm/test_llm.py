@@ -157,6 +157,29 @@ def test_long_text_in_pieces_scores_the_same(monkeypatch):
     assert auc(np.array([m for m, _ in want[:60]]), np.arange(60) % 2) == 1
 
 
+def test_toxicity_thresholds_come_from_all_labels(spark, monkeypatch):
+    """Long texts are no part of the fit; each threshold is settled by the histogram of all labelled texts."""
+    common.on_path(spark)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 40)
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for i in range(300):
+        y.append(i % 2)
+        words = list(rng.choice(["good", "fine", "calm"], 30 if i % 3 else 3000)) + ["vile scum"] * y[-1]
+        rows.append((i, " ".join(words), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    seen, settle = [], toxicity._settle
+    monkeypatch.setattr(toxicity, "_settle", lambda *a: (seen.append((a[3].sum(), a[4].sum())), settle(*a)))
+    model = toxicity.fit_model(docs, labels)
+    learnt = [v for i, v in enumerate(y) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[-1] == (len(learnt) - sum(learnt), sum(learnt))
+    scorer = toxicity.Scorer(model)
+    margins = np.array([scorer.margin_and_tongue(t)[0] for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5])
+    toxic = np.array(learnt) * 1.0
+    assert abs(model.thresholds[0] - toxicity._threshold(margins, 1 - toxic, toxic)) < 2 * toxicity.STEP
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_model(odd, labels)
