@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import shared_folder, stored
 
-__all__ = ["batch_column", "fold_of", "labelled_sample", "on_path", "shared_folder", "slices",
+__all__ = ["batch_column", "fold_of", "labelled_sample", "on_path", "shared_folder", "sized", "slices",
            "stored", "words"]
 
 #: What a task holds as Python objects at once, in rows and in characters.
@@ -67,6 +67,11 @@ def batch_column(source: Column, kind: str, fields: dict[str, pa.DataType],
     return column.asNondeterministic()(source)
 
 
+def sized(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored narrow table, broadcast if it has no more rows than that."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def fold_of(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo the folds; NULL for a NULL key."""
     return F.crc32(F.col(key).cast("string")) % folds

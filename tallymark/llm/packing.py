@@ -210,16 +210,9 @@ def ranked(pieces: DataFrame, rows: int) -> DataFrame:
             .drop("__row", "__before", "__bucket"))
 
 
-def packed(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
-
-    A NULL or empty text is the end id alone. A document longer than a sequence is cut every
-    ``length`` ids. Sequences are gapless from 0 and hold at most ``length`` ids. Rows that repeat an
-    id are documents of their own; equal pieces may swap places. An empty table gives no rows.
-    """
-    pieces = stored(pieces_of(docs, length, end_id, path))
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows
-    table = docs.sparkSession.sparkContext.broadcast(slot_table(packing_patterns(histogram, length)))
+def placed(ranked_pieces: DataFrame, patterns: list[tuple[int, list[int]]]) -> DataFrame:
+    """Pieces with ``length`` and ``__rank`` plus ``__slot``: their sequence_id and offset by the patterns."""
+    table = ranked_pieces.sparkSession.sparkContext.broadcast(slot_table(patterns))
 
     @F.arrow_udf("sequence_id long, offset long")
     def slot(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -230,6 +223,17 @@ def packed(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path:
             yield pa.StructArray.from_arrays(
                 [pa.array(firsts[at] + key - keys[at]), pa.array(offsets[at])], names=["sequence_id", "offset"])
 
-    placed = ranked(pieces, sum(histogram.values())).withColumn(
-        "__slot", slot.asNondeterministic()("length", "__rank"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "__slot.sequence_id", "__slot.offset")
+    return ranked_pieces.withColumn("__slot", slot.asNondeterministic()("length", "__rank"))
+
+
+def packed(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
+
+    A NULL or empty text is the end id alone. A document longer than a sequence is cut every
+    ``length`` ids. Sequences are gapless from 0 and hold at most ``length`` ids. Rows that repeat an
+    id are documents of their own; equal pieces may swap places. An empty table gives no rows.
+    """
+    pieces = stored(pieces_of(docs, length, end_id, path))
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows
+    return placed(ranked(pieces, sum(histogram.values())), packing_patterns(histogram, length)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "__slot.sequence_id", "__slot.offset")

@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm import (extract, langid, minhash, mixing, packing, quality, topk, toxicity, urlfilter, warc)
+from tallymark.llm import (best_fit, centroids, extract, langid, lexical, minhash, mixing, packing, quality, topk,
+                           toxicity, urlfilter, warc)
 from tallymark.llm.common import fold_of, on_path
 
 QUERIES: dict = {}
@@ -179,3 +180,72 @@ SQL["op9_mixing"] = """
 def op10_packing(table) -> DataFrame:
     """The place of every piece of every document."""
     return packing.packed(table("documents"))
+
+
+@_registered
+def op11_bestfit(table) -> DataFrame:
+    """The place of every piece of every document, in few sequences."""
+    return best_fit.packed(table("documents"))
+
+
+@_registered
+def op12_centroids(table) -> DataFrame:
+    """Cluster of every vector of 64 components."""
+    return centroids.clustered(table("embeddings"))
+
+
+def _cluster_sql(clusters: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    def assigned(number: int) -> str:
+        return f"""a{number} AS MATERIALIZED (SELECT row, vec_id, e, cluster, distance FROM (
+            SELECT v.row, v.vec_id, v.e, c.cluster, CAST(list_sum(list_transform(range(1, {dims} + 1),
+                       lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS distance,
+                   row_number() OVER (PARTITION BY v.row ORDER BY distance, c.cluster) AS place
+            FROM v, c{number} c) WHERE place = 1)"""
+
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding,
+            lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS INT) AS cluster, e FROM (
+            SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v WHERE vec_id IS NOT NULL
+            ORDER BY h, e LIMIT {clusters}))"""]
+    for r in range(rounds):
+        steps += [assigned(r), f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (
+            SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM (
+                SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (
+                    SELECT cluster, unnest(e) AS x, unnest(range(1, {dims} + 1)) AS i FROM a{r}) GROUP BY cluster, i)
+            GROUP BY cluster) m USING (cluster))"""]
+    return f"""WITH {", ".join([*steps, assigned(rounds)])}
+    SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+
+
+SQL["op12_centroids"] = _cluster_sql(centroids.CLUSTERS, centroids.ROUNDS, centroids.DIMS, centroids.SCALE, centroids.SEED)
+
+
+@_registered
+def op13_lexical(table) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return lexical.ranked(table("documents"), table("benchmark"))
+
+
+SQL["op13_lexical"] = """
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
+    q AS (SELECT item, item_id, w, count(*) AS q FROM (SELECT item, item_id, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+              FROM (SELECT row_number() OVER () AS item, * FROM benchmark)) GROUP BY ALL),
+    n AS (SELECT row, doc_id, len(l) AS n FROM d WHERE len(l) > 0),
+    a AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+    t AS (SELECT row, w, count(*) AS tf FROM (SELECT row, unnest(l) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+    f AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+          FROM t, a GROUP BY w),
+    m AS (SELECT row, doc_id, 75 + (25 * n * big_n) // big_l AS m FROM n, a),
+    s AS (SELECT q.item, q.item_id, m.row, m.doc_id,
+                 CAST(sum(q.q * f.weight * ((1000000000 * t.tf) // (1000 * t.tf + 12 * m.m))) AS BIGINT) AS score
+          FROM q JOIN f USING (w) JOIN t USING (w) JOIN m USING (row) GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
