@@ -9,8 +9,6 @@ many pieces share is spread over tasks.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,114 +19,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import batch_column, stored
+from tallymark.llm.tokens import Encoder, encoder  # noqa: F401 (Encoder is part of this module too)
 
 SEQUENCE = 2048
 END_ID = 1
-VOCABULARY = "byte_bpe_50k.json"
-SPECIAL = "<|endoftext|>"
-#: Distinct space-separated chunks whose ids a task remembers.
-CACHE = 400_000
 #: Pieces of one length that one bucket of the ranking holds on average.
 BUCKET_ROWS = 2_000
 _RANK_BITS = 44
-_MIXED_SPACE = re.compile(r" \s|\s ")
-_WIDE_SPACE = re.compile(r"\s\s|[^\S\n ]|\n\Z|\A\n")
-
-
-class Encoder:
-    """Little-endian 32-bit ids of texts.
-
-    The byte-level pre-tokenizer never joins what lies on both sides of a single space, so ids are
-    looked up by space-separated chunk; a text with a space beside other white space is encoded whole.
-    """
-
-    def __init__(self, path: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.tokenizer.encode_special_tokens = True
-        # In byte-level vocabularies a token that starts with a space starts with this letter.
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.newline = int(self._ids("\n")[0])
-        self.marks = {m: self._ids(m).tobytes() for m in ".,;:!?"}
-        self._forget()
-
-    def _forget(self):
-        self.known = {"": self._ids(" ").tobytes()}
-        self.heads = {"": b""}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _cut(self, ids: np.ndarray, edges: np.ndarray, words: list[str]) -> zip:
-        if len(edges) != len(words):
-            raise ValueError("the vocabulary does not keep spaces at the start of tokens")
-        data, cuts = ids.tobytes(), [*(4 * edges).tolist(), 4 * len(ids)]
-        return zip(words, map(data.__getitem__, map(slice, cuts, cuts[1:])))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks, each behind a space, from one encoding cut where a space opens a token.
-
-        A mark behind a letter is a token of its own, so such a chunk is its word's ids and the mark's.
-        """
-        known, marked, bare = self.known, [], []
-        for c in chunks:
-            if c[-1] in self.marks and c[-2:-1].isalpha():
-                marked.append(c)
-                c = c[:-1]
-                if c in known:
-                    continue
-            bare.append(c)
-        bare = list(dict.fromkeys(bare))
-        if bare:
-            ids = self._ids("".join([f" {c}" for c in bare]))
-            known.update(self._cut(ids, np.flatnonzero(self.opens[ids]), bare))
-        known.update([(c, known[c[:-1]] + self.marks[c[-1]]) for c in marked])
-
-    def _learn_heads(self, heads: list[str]) -> None:
-        """Ids of words at the start of a line, from one encoding of them on lines of their own."""
-        ids = self._ids("".join([f"\n{c}" for c in heads]))
-        edges = np.flatnonzero(ids == self.newline)
-        self.heads.update((c, data[4:]) for c, data in self._cut(ids, edges, heads))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        # a text of words with one space or line end between any two, and no other white space, needs no closer look
-        found, parted = text.split(), text.count(" ") + text.count("\n")
-        plain = len(found) == parted + 1 and len(text) == parted + sum(map(len, found))
-        if SPECIAL in text or not plain and (_MIXED_SPACE.search(text) or text.isspace()):
-            return self._ids(text).tobytes()
-        if len(self.known) + len(self.heads) > CACHE:
-            self._forget()
-        newline = self.newline.to_bytes(4, "little")
-        wide = not plain and _WIDE_SPACE.search(text)
-        lines = [line.split(" ") for line in ([text] if wide else text.split("\n"))]
-        missing = [c for c in dict.fromkeys([line[0] for line in lines]) if c not in self.heads]
-        if missing and wide:
-            self.heads[missing[0]] = self._ids(missing[0]).tobytes()
-        elif missing:
-            self._learn_heads(missing)
-        chunks = [c for line in lines for c in line[1:]]
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if missing:
-            self._learn(missing)
-        ids_of = self.known.__getitem__
-        return newline.join([b"".join([self.heads[line[0]], *map(ids_of, line[1:])]) for line in lines])
 
 
 def _start(config):
     path, length, end_id = config
-    encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+    encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
 
     def work(texts):
         sizes, sums = [], []
         for text in texts:
-            ids = encoder.encode(text) + end
+            ids = encode(text) + end
             sizes.append(len(ids) // 4)
             sums.append([zlib.crc32(ids[lo:lo + 4 * length]) for lo in range(0, len(ids), 4 * length)])
         return sizes, sums
@@ -196,18 +103,20 @@ def slot_table(patterns: list[tuple[int, list[int]]]) -> tuple[np.ndarray, ...]:
 
 
 def ranked(pieces: DataFrame, rows: int) -> DataFrame:
-    """Pieces plus ``__rank`` from 0 among the pieces of their length."""
+    """Stored pieces plus ``__rank`` from 0 among the pieces of their length."""
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(buckets)))
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")  # copies of a row lie in different places
+    dealt = (pieces.select("*", place.alias("__place"))
+             .withColumn("__bucket", F.pmod(F.col("__place"), F.lit(buckets))))
     before = (dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
               .withColumn("__before", F.coalesce(F.sum("__n").over(
                   Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .select("length", "__bucket", "__before"))
-    within = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "__bucket").orderBy("__place", "doc_id", "start", "ids_crc32")
     return (dealt.withColumn("__row", F.row_number().over(within) - 1)
             .join(before, ["length", "__bucket"])
             .withColumn("__rank", (F.col("__row") + F.col("__before")).cast("long"))
-            .drop("__row", "__before", "__bucket"))
+            .drop("__row", "__before", "__bucket", "__place"))
 
 
 def placed(ranked_pieces: DataFrame, patterns: list[tuple[int, list[int]]]) -> DataFrame:
