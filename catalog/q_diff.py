@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from catalog import seeds
 from tallymark.functions.normalize import Norm
 from tallymark.operators.diff import keyed_diff
+from tallymark.operators.digests import pruned
+from tallymark.operators.layout import laid_out
+from tallymark.session import shared_folder, stored
 
 QUERIES, SQL = {}, {}
 
@@ -137,3 +140,11 @@ c AS (SELECT CAST(sum(ns) AS BIGINT) AS source_total, CAST(sum(nt) AS BIGINT) AS
     count(*) FILTER (ns = 1 AND nt = 1 AND (sq <> tq OR sf <> tf)) AS mismatched_rows FROM g)
 SELECT *, (value_mismatches + source_only + target_only + source_dup_keys + target_dup_keys) = 0
   AS is_clean FROM c"""
+
+# The same comparison after digests have settled the leaves without a change.
+QUERIES["reconciliation_pruned"] = lambda s, d: pruned(lineitem_diff(s, d), stored, leaf_rows=8).diff.summary()
+SQL["reconciliation_pruned"] = SQL["reconciliation"]
+
+# The same comparison over both sides laid out in buckets by key.
+QUERIES["reconciliation_bucketed"] = lambda s, d: laid_out(lineitem_diff(s, d), shared_folder(s), 8).summary()
+SQL["reconciliation_bucketed"] = SQL["reconciliation"]

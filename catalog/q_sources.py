@@ -63,6 +63,34 @@ def scan_glob_lineage(s, d):
                      F.col(readers.SOURCE_FILE).endswith(".csv").alias("from_csv"))
 
 
+@query("scan_glob_many_headers", """
+SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status,
+  CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS priority, CAST(o_orderkey % 40 AS VARCHAR) AS extra,
+  CAST(count(*) OVER (PARTITION BY o_orderkey % 40) AS BIGINT) AS rows_of_file FROM orders""")
+def scan_glob_many_headers(s, d):
+    """Forty headers below one glob: columns in four orders, and one column that no other file has."""
+    folder, feed = shared_folder(s), F.pmod(F.col("o_orderkey"), F.lit(40))
+    names, cells = F.array(*map(F.lit, ("key", "customer", "status", "priority"))), F.array(
+        F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus",
+        F.when(every(9), F.lit("n/a")).otherwise(F.col("o_orderpriority")))
+
+    def line(values, last):
+        turn = (F.col("feed") % 4).cast("int")
+        return F.concat_ws(",", F.slice(values, turn + 1, 4 - turn), F.slice(values, F.lit(1), turn), last)
+
+    rows = table(s, d, "orders").withColumn("feed", feed).select(
+        "feed", F.lit(1).alias("at"), line(cells, F.col("feed").cast("string")).alias("value"))
+    heads = rows.select("feed").distinct().select(
+        "feed", F.lit(0).alias("at"), line(names, F.concat(F.lit("x"), F.col("feed").cast("string"))).alias("value"))
+    (rows.unionByName(heads).repartition(40, "feed").sortWithinPartitions("feed", "at").drop("at")
+     .write.partitionBy("feed").text(folder))
+    df = readers.read_delimited(s, f"{folder}/feed=*/*.txt")
+    own = F.coalesce(*[F.col(c) for c in df.columns if c.startswith("x")])
+    files = df.groupBy(readers.SOURCE_FILE, own.alias("extra")).agg(F.count("*").alias("rows_of_file"))
+    return (df.withColumn("extra", own).join(files, [readers.SOURCE_FILE, "extra"])
+            .select("key", "customer", "status", "priority", "extra", "rows_of_file"))
+
+
 @query("scan_typed", """
 SELECT CAST(p_partkey AS INTEGER) AS id, p_brand AS brand, CAST(NULL AS DOUBLE) AS balance, p_size > 10 AS flag,
   DATE '2024-02-01' AS day FROM part
@@ -81,12 +109,12 @@ def scan_typed(s, d):
     return df.select("id", "brand", "balance", "flag", "day")
 
 
-@query("scan_table", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+@query("scan_table", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
 def scan_table(s, d):
     """A table by its qualified name, narrowed to columns and a filter."""
-    table(s, d, "nation").createOrReplaceGlobalTempView("tallymark_nation")
-    return readers.read_dataset(s, Dataset(table="global_temp.tallymark_nation", columns=["n_nationkey", "n_name"],
-                                           where="n_regionkey = 1"))
+    table(s, d, "orders").createOrReplaceGlobalTempView("tallymark_orders_by_name")
+    return readers.read_dataset(s, Dataset(table="global_temp.tallymark_orders_by_name", where="o_orderstatus = 'F'",
+                                           columns=["o_orderkey", "o_orderpriority"]))
 
 
 @query("project_with_lineage", """
@@ -127,11 +155,30 @@ def sql_dataset(s, d):
         FROM tallymark_orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority"""))
 
 
-@query("capped_sample", "SELECT count(*) AS sampled FROM (SELECT * FROM lineitem LIMIT 1000)")
+@query("capped_sample", """
+WITH p(cap) AS (VALUES (1000), (20000), (10000000))
+SELECT CAST(cap AS INTEGER) AS cap, least(cap, (SELECT count(*) FROM lineitem)) AS sampled,
+  cap < (SELECT count(*) FROM lineitem) AS refused,
+  least(cap, (SELECT count(*) FROM lineitem)) AS known FROM p""")
 def capped_sample(s, d):
-    """The truncating form of the row cap: a sample is what is asked for."""
-    return readers.capped(table(s, d, "lineitem"), 1000, allow_truncation=True) \
-        .agg(F.count("*").alias("sampled"))
+    """Both forms of the row cap: a sample where that is allowed, otherwise an error beyond the cap."""
+    lines, caps = table(s, d, "lineitem"), (1_000, 20_000, 10_000_000)
+
+    def refused(cap: int) -> bool:
+        try:
+            readers.capped(lines, cap)
+        except readers.DatasetError:
+            return True
+        return False
+
+    keys = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    parts = []
+    for cap in caps:
+        sample = readers.capped(lines, cap, allow_truncation=True)
+        known = sample.join(lines.select(keys.alias("key")).distinct(), keys == F.col("key"), "left_semi")
+        parts.append(sample.agg(F.count("*").alias("sampled"))
+                     .withColumns({"cap": F.lit(cap), "refused": F.lit(refused(cap)), "known": F.lit(known.count())}))
+    return readers.union_by_name(parts)
 
 
 MAPPING = mapping_from_dict({"tables": [{

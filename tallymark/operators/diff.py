@@ -119,6 +119,28 @@ def rows_with_repeated_keys(df: DataFrame, keys: Sequence[str],
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+@dataclass(frozen=True)
+class Folded:
+    """Both sides with one row per key, in tables of the same buckets: the keys and ``nulls`` as they are stored, rows
+    counted as ``n``, and values that count where ``n`` is one; and how a key is had from what is stored."""
+
+    source: DataFrame
+    target: DataFrame
+    keys: Mapping[str, Column]
+
+    def pairs(self, value_ids: Sequence[str]) -> DataFrame:
+        met = [*self.keys, "nulls"]
+
+        def side(df: DataFrame, name: str) -> DataFrame:
+            values = F.struct(*[F.col(c) for c in value_ids]) if value_ids else F.lit(None)
+            return df.select(*met, F.col("n").alias(f"n{name}"), F.when(F.col("n") == 1, values).alias(name))
+
+        both = side(self.source, "s").join(side(self.target, "t"), met, "full_outer")
+        return both.select(*[c.alias(k) for k, c in self.keys.items()],
+                           *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("ns", "nt")],
+                           *[c for c in ("s", "t") if value_ids])
+
+
 @dataclass(frozen=True)
 class KeyedDiff:
     """A lazy comparison; every method returns a DataFrame and runs nothing."""
@@ -128,6 +150,9 @@ class KeyedDiff:
     norms: tuple[Norm, ...]
     source: DataFrame  # k0.. and c0.., normalised
     target: DataFrame
+    #: Keys known to be on both sides once, with equal values, whose rows were left out of both.
+    settled: int = 0
+    folded: Folded | None = None
 
     @cached_property
     def _key_ids(self) -> list[str]:
@@ -150,6 +175,9 @@ class KeyedDiff:
         back will do. Values of fixed width are told by their maximum, which a hash aggregate holds
         in place; with a text among them a side's values stay together.
         """
+        if self.folded:
+            return self.folded.pairs(self._value_ids)
+
         def tagged(df: DataFrame, mine: int) -> DataFrame:
             return df.select(*self._key_ids, F.lit(mine).cast("bigint").alias("ns"),
                              F.lit(1 - mine).cast("bigint").alias("nt"), *self._value_ids)
@@ -195,9 +223,9 @@ class KeyedDiff:
         """Aggregates over ``pairs`` with its marks ``matched`` and ``d0``.."""
         every = range(len(self.columns))
         return [
-            F.coalesce(F.sum("ns"), F.lit(0)).alias("source_total"),
-            F.coalesce(F.sum("nt"), F.lit(0)).alias("target_total"),
-            F.count_if("matched").alias("matched_keys"),
+            (F.coalesce(F.sum("ns"), F.lit(0)) + self.settled).alias("source_total"),
+            (F.coalesce(F.sum("nt"), F.lit(0)) + self.settled).alias("target_total"),
+            (F.count_if("matched") + self.settled).alias("matched_keys"),
             F.count_if(_any([F.col(f"d{i}") for i in every])).alias("mismatched_rows"),
             F.count_if(self.only_source).alias("source_only"),
             F.count_if(self.only_target).alias("target_only"),

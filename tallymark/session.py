@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER_KEY = "spark.checkpoint.dir"
+#: Folders that this process has written with :func:`stored`.
+_STORED: list[str] = []
 
 
 def build_session(app: str = "tallymark", master: str | None = None,
@@ -53,5 +55,23 @@ def stored(df: DataFrame) -> DataFrame:
     optimizer's own size check, a large one is joined by shuffle. It also survives lost executors.
     """
     folder = shared_folder(df.sparkSession)
+    _STORED.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever file system it lies; one that is not there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard_stored(spark: SparkSession) -> int:
+    """Deletes all that :func:`stored` has written in this process; returns the number of folders.
+
+    To be called when no frame that reads them is needed any more, such as after a result is written.
+    """
+    gone = len(_STORED)
+    while _STORED:
+        discard(spark, _STORED.pop())
+    return gone

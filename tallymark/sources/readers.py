@@ -7,7 +7,9 @@ so they reach parquet scans and JDBC queries through the optimizer.
 from __future__ import annotations
 
 import codecs
-from collections.abc import Mapping, Sequence
+import csv
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -81,32 +83,98 @@ def union_parts(parts: Mapping[str, DataFrame], tag: str = PART_TAG) -> DataFram
     return union_by_name([df.withColumn(tag, F.lit(str(name))) for name, df in parts.items()])
 
 
-def first_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """``path``, ``tabs`` (a .tsv file) and ``header`` (its bytes) of every file of a path or glob.
+#: Bytes that the look-up of a header reads of a file; more only while no line end has been seen.
+HEADER_BYTES = 65_536
+_LINE_END = re.compile("\r\n|\r|\n")
+_BLANK = "".join(map(chr, range(33)))
 
-    One job whatever the number of files. A line is its file's first if it opens the file's first
-    block and no other line of that file came before it in the task.
-    """
-    def opening(batches):
+
+def first_line(read: Callable[[int], bytes], encoding: str) -> str | None:
+    """The first line that is not blank of what ``read`` gives piece by piece, without a byte order mark."""
+    decode, seen, size = codecs.getincrementaldecoder(encoding)("replace").decode, "", HEADER_BYTES
+    while True:
+        data = read(size)
+        seen += decode(data, not data)
+        *whole, rest = _LINE_END.split(seen)
+        lines = whole if data else [*whole, rest]
+        found = next((x for x in (line.removeprefix("\ufeff") for line in lines) if x.strip(_BLANK)), None)
+        if found is not None or not data:
+            return found
+        size = max(size, len(seen))  # the text doubles, so a long line is looked through twice
+
+
+def _by_ranges(encoding: str):
+    """Headers of listed files from their first bytes; a compressed file is read through its codec."""
+    def work(batches):
         import pyarrow as pa
+        import pyarrow.fs
+
+        for batch in batches:
+            headers = []
+            for path in batch.column("path").to_pylist():
+                files, at = pyarrow.fs.FileSystem.from_uri(path)
+                with files.open_input_stream(at) as stream:
+                    headers.append(first_line(stream.read, encoding))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(headers, pa.string())], names=["path", "header"])
+
+    return work
+
+
+def _by_lines(encoding: str):
+    """Headers from the lines of files' first blocks: within a task the lines of a file follow one another."""
+    def work(batches):
+        import pyarrow as pa
+
         last = None
         for batch in batches:
-            paths = batch.column("path")
-            # within a task the lines of a file follow one another
-            runs = paths.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            starts = [i for i in range(len(runs)) if not i or runs[i] != runs[i - 1]]
-            if starts and paths[0].as_py() == last:
-                starts = starts[1:]
-            last = paths[len(runs) - 1].as_py() if len(runs) else last
-            yield batch.take(pa.array(starts, pa.int64()))
+            paths = batch.column("path").to_pylist()
+            starts = [i for i, path in enumerate(paths) if path != (paths[i - 1] if i else last)]
+            last = paths[-1] if paths else last
+            values = batch.column("value").take(pa.array(starts, pa.int64())).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in starts], pa.string()), pa.array(
+                [v.decode(encoding, "replace").removeprefix("\ufeff") for v in values], pa.string())], names=["path", "header"])
+
+    return work
+
+
+def _reachable(path: str) -> bool:
+    """Whether tasks can open a file of this scheme by ranges."""
+    import pyarrow as pa
+    import pyarrow.fs
 
     try:
-        lines = (spark.read.text(pattern).where("_metadata.file_block_start = 0 AND trim(value) <> ''")
-                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("header")))
-        found = lines.mapInArrow(opening, lines.schema)
-        return stored(found.select("path", F.lower("path").endswith(".tsv").alias("tabs"), "header"))
+        pyarrow.fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def headers(spark: SparkSession, pattern: str, encoding: str = "utf-8") -> DataFrame:
+    """``path``, ``tabs`` (a .tsv file) and ``header`` of every file of a path or glob that has a line.
+
+    Files are listed without their content; tasks then open each and read its first bytes. Only where the
+    files lie in a store that Arrow cannot open are the lines of their first blocks looked through instead.
+    """
+    try:
+        files = spark.read.format("binaryFile").load(pattern)
+        some = files._jdf.inputFiles()  # the listing that the driver has made; no job
+        if not len(some) or _reachable(some[0]):
+            listed = files.select(F.col("_metadata.file_path").alias("path"))
+            found = listed.mapInArrow(_by_ranges(encoding), "path string, header string")
+        else:
+            lines = (spark.read.text(pattern).where("_metadata.file_block_start = 0 AND trim(value) <> ''")
+                     .select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")))
+            found = lines.mapInArrow(_by_lines(encoding), "path string, header string")
     except AnalysisException as exc:
         raise DatasetError(f"no files matched: {pattern}") from exc
+    return stored(found.where("header is not null")
+                  .select("path", F.lower("path").endswith(".tsv").alias("tabs"), "header"))
+
+
+def column_names(cells: Sequence[str]) -> list[str]:
+    """Names as the CSV source gives them: an empty one is numbered, one that repeats has its place appended."""
+    folded = [c.lower() for c in cells]
+    return [f"{c}{i}" if c and folded.count(c.lower()) > 1 else c or f"_c{i}" for i, c in enumerate(cells)]
 
 
 # What the text of a column must look like for it to be read as a type, narrowest type first.
@@ -137,10 +205,11 @@ def read_delimited(spark: SparkSession, pattern: str, sep: str | None = None,
                    same_header: bool = False) -> DataFrame:
     """Delimited files of a path or glob, by column name, with their file name per row.
 
-    Everything is text unless ``dtype_str`` is false. First lines are looked up in one job; there is
-    one scan per distinct header, and rows are taken by a join with the files that have it.
-    ``same_header`` says that there is only one and saves that look, which reads the files' text; a
-    file with another header is then an error.
+    Everything is text unless ``dtype_str`` is false. The headers of all files are looked up in one job of
+    ranged reads. One scan then reads the rows of all files by place, whatever number of headers there are,
+    and a column is the place that its name has in the file's header, joined by the file's path; text with
+    tabs beside text with commas takes one scan each. ``same_header`` says that there is only one header
+    and saves the look-up; a file with another header is then an error.
     """
     def reader(tabs: bool, strict: bool):
         return (spark.read.option("header", True).option("enforceSchema", not strict)
@@ -153,30 +222,57 @@ def read_delimited(spark: SparkSession, pattern: str, sep: str | None = None,
         return raw.select(*[F.when(~col(c).isin(missing), col(c)).alias(c) for c in raw.columns],
                           F.col("_metadata.file_name").alias(SOURCE_FILE))
 
-    def parts() -> list[DataFrame]:
+    def names_of(kind) -> list[str]:
+        mark = sep or ("\t" if kind.tabs else ",")
+        if len(mark) == 1:
+            return column_names(next(csv.reader([kind.header], delimiter=mark)))
+        return reader(kind.tabs, True).csv(kind.path).columns
+
+    def placed() -> DataFrame:
         if same_header:
-            return [cleaned(reader(pattern.lower().endswith(".tsv"), True).csv(pattern))]
-        files = first_lines(spark, pattern)
-        # as many rows as there are distinct headers, each of which costs a scan
+            return cleaned(reader(pattern.lower().endswith(".tsv"), True).csv(pattern))
+        files = headers(spark, pattern, encoding)
+        # as many rows as there are distinct headers
         kinds = files.groupBy("tabs", "header").agg(F.min("path").alias("path")).orderBy("path").collect()
         if len(kinds) < 2:
-            return [cleaned(reader(bool(kinds and kinds[0].tabs), True).csv(pattern))]
-        out = []
-        for kind in kinds:
-            names = reader(kind.tabs, True).csv(kind.path).schema
-            mine = files.where((F.col("tabs") == kind.tabs) & (F.col("header") == F.lit(bytes(kind.header))))
-            raw = reader(kind.tabs, False).schema(names).csv(pattern)
-            at = raw.select("*", F.col("_metadata.file_path").alias("__path"),
-                            F.col("_metadata.file_name").alias("__name"))
-            # values also hang on the file's side, by a column that no key stands for, so a later
-            # filter never sees those of files with another header
-            own = F.col("header").isNotNull()
-            kept = at.join(mine.select("path", "header"), F.col("path") == F.col("__path"))
-            out.append(kept.select(*[F.when(own & ~col(c).isin(missing), col(c)).alias(c) for c in names.names],
-                                   F.col("__name").alias(SOURCE_FILE)))
-        return out
-
-    df = union_by_name(parts())
+            return cleaned(reader(bool(kinds and kinds[0].tabs), True).csv(pattern))
+        names = [names_of(kind) for kind in kinds]
+        numbered = spark.createDataFrame([(k.tabs, k.header, i) for i, k in enumerate(kinds)],
+                                         "tabs boolean, header string, kind int")
+        index = stored(files.join(numbered, ["tabs", "header"]).select(F.col("path").alias("__path"), "kind"))
+        spelled = {n.lower(): n for own in reversed(names) for n in reversed(own)}  # as the first file has it
+        order = [*dict.fromkeys(n.lower() for own in names for n in own)]
+
+        def scan(tabs: bool, mixed: bool) -> DataFrame:
+            mine = [i for i, k in enumerate(kinds) if k.tabs == tabs]
+            width = max(len(names[i]) for i in mine)
+            source = reader(tabs, False).schema(", ".join(f"_c{i} string" for i in range(width)))
+            source = source.option("pathGlobFilter", "*.[tT][sS][vV]") if tabs and mixed else source
+            rows = source.csv(pattern).select("*", F.col("_metadata.file_path").alias("__path"),
+                                              F.col("_metadata.file_name").alias(SOURCE_FILE))
+            known = index.where(F.col("kind").isin(mine)) if mixed else index
+            rows = rows.join(known, "__path")
+
+            def value(name: str) -> Column:
+                at: dict[int, list[int]] = {}
+                for i in mine:
+                    for place, n in enumerate(names[i]):
+                        if n.lower() == name:
+                            at.setdefault(place, []).append(i)
+                # a value hangs on the file's kind too, so no later filter sees what stands there in other files
+                found = [F.when((F.col("kind").isin(own) if len(own) < len(mine) else F.col("kind") >= 0)
+                                & ~F.col(f"_c{place}").isin(missing), F.col(f"_c{place}")) for place, own in at.items()]
+                return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+            columns = [value(n).alias(spelled[n]) for n in order]
+            return rows.select(*columns[:len(names[0])], SOURCE_FILE, *columns[len(names[0]):])
+
+        marks = sorted({k.tabs for k in kinds}) if not sep else [False]
+        if sep:
+            kinds = [type(k)(**{**k.asDict(), "tabs": False}) for k in kinds]
+        return union_by_name([scan(tabs, len(marks) > 1) for tabs in marks])
+
+    df = placed()
     return df if dtype_str else typed(df)
 
 

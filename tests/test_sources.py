@@ -1,3 +1,7 @@
+import csv
+import gzip
+import io
+
 import pytest
 
 from tallymark.operators.checks import row_count
@@ -33,6 +37,61 @@ def test_many_files_are_looked_up_in_one_job(spark, tmp_path):
     assert got == [(i, f"n{i}", f"f_{i}.csv") for i in range(200) if i != 7]
 
 
+def test_headers_by_their_first_bytes(tmp_path):
+    """A header is found in 64 KB; more is read only while no line has ended."""
+    def looked(data, encoding="utf-8"):
+        stream, asked = io.BytesIO(data), []
+        return readers.first_line(lambda n: (asked.append(n), stream.read(n))[1], encoding), sum(asked)
+
+    rows = b"\n".join(b"1,2,3" for _ in range(100_000))
+    assert looked(b"a,b\n" + rows) == ("a,b", readers.HEADER_BYTES)
+    assert looked(b"\xef\xbb\xbfa,b\r\n" + rows)[0] == "a,b"
+    assert looked(b"\n  \n\r\na,b\r" + rows)[0] == "a,b"
+    assert looked("ä,b\n1".encode("utf-16"), "utf-16")[0] == "ä,b"
+    assert looked("ä,b\n1".encode("latin-1"), "latin-1")[0] == "ä,b"
+    wide = ",".join(f"column_{i}" for i in range(30_000)).encode()
+    found, read = looked(wide + b"\n" + rows)
+    assert found == wide.decode() and read <= 4 * len(wide)
+    assert looked(b"only")[0] == "only" and looked(b"")[0] is None and looked(b"\n \n")[0] is None
+
+
+def test_names_are_those_of_the_csv_source(spark, tmp_path):
+    for number, line in enumerate(['a,,"b, ""c""",a,A,', "x", "é b,_c1,", '" q ",r']):
+        path = tmp_path / f"{number}.csv"
+        path.write_text(line + "\n1\n")
+        cells = next(csv.reader([line]))
+        assert readers.column_names(cells) == spark.read.option("header", True).option("escape", '"').csv(str(path)).columns
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_one_scan_for_any_number_of_headers(spark, tmp_path, monkeypatch, ranges):
+    """Forty headers, odd file names, a compressed, an empty and a blank file; also where only Spark reads the store."""
+    if not ranges:
+        monkeypatch.setattr(readers, "_reachable", lambda path: False)
+    want = []
+    for i in range(40):
+        names = ["id", "name", f"x{i}"]
+        names = names[i % 3:] + names[:i % 3]
+        lines = [",".join(names)] + [",".join({"id": f"{i}{k}", "name": "NA", f"x{i}": f"v {k}"}[n] for n in names) for k in range(3)]
+        data = "\n".join(lines).encode()
+        if i == 7 and ranges:
+            (tmp_path / f"f {i}%.csv.gz").write_bytes(gzip.compress(data))
+        else:
+            (tmp_path / f"f {i}%.csv").write_bytes(data)
+        want += [(f"{i}{k}", None, f"v {k}") for k in range(3)]
+    (tmp_path / "f empty.csv").write_text("")
+    (tmp_path / "f blank.csv").write_text("\n \n")
+    df = readers.read_delimited(spark, f"{tmp_path}/f*")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "Python" not in plan and "MapInArrow" not in plan
+    cells = [c for c in df.columns if c.startswith("x")]
+    got = [(r.id, r.name, next(r[c] for c in cells if r[c])) for r in df.collect()]
+    assert sorted(got) == sorted(want) and len(cells) == 40
+    assert df.where("id > 200").count() == sum(int(i) > 200 for i, *_ in want)
+    one = df.select("id").where("id = '115'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_c0" in one
+
+
 def test_types_over_all_files(spark, tmp_path):
     (tmp_path / "t_1.csv").write_text("a,b,c,d,e,f\n1,1,true,2020-01-02,2020-01-02 10:00:00,\n")
     (tmp_path / "t_2.csv").write_text("b,a,c,d,e,f\n1.5,NA,false,2020-02-30,2020-01-02,x\n")
