@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import seeds
 from catalog.seeds import every, sql_nullish, sql_number, sql_trim, table
 from tallymark.operators import checks
+from tallymark.session import stored
 from tallymark.spec import mapping_from_dict
 
 QUERIES, SQL = {}, {}
@@ -139,6 +140,13 @@ def fk_orphans(s, d):
                              table(s, d, "customer"), ["o_custkey"], ["c_custkey"])
 
 
+@query("fk_orphans_settled", SQL["fk_orphans"])
+def fk_orphans_settled(s, d):
+    """As a run lists them: the orphan keys are settled first, the rows then filtered by them."""
+    return checks.fk_orphans(seeds.orders_target(s, d).select("o_orderkey", "o_custkey"),
+                             table(s, d, "customer"), ["o_custkey"], ["c_custkey"], stored)
+
+
 # Composite key with null parts: a line's order and a status text that is empty for some.
 _FK_CHILD_SQL = """WITH child AS (SELECT l_orderkey, CASE WHEN l_orderkey % 13 = 0 THEN ''
     WHEN l_orderkey % 17 = 0 THEN 'Z' ELSE ' ' || o_orderstatus END AS status
@@ -312,6 +320,12 @@ def dedup_rows(s, d):
     return checks.dedup_rows(table(s, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey"), LINE)
 
 
+@query("dedup_rows_settled", SQL["dedup_rows"])
+def dedup_rows_settled(s, d):
+    """As a run lists them: the repeated keys are settled first."""
+    return checks.dedup_rows(table(s, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey"), LINE, stored)
+
+
 @query("null_defaulting", PAIR + """,
 s AS (SELECT 'o_totalprice' AS "column", '0.0' AS default_value,
     avg((o_totalprice = 0)::INT) AS share, count(*) FILTER (o_totalprice IS NULL) AS null_count FROM tgt

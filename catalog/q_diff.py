@@ -148,3 +148,39 @@ SQL["reconciliation_pruned"] = SQL["reconciliation"]
 # The same comparison over both sides laid out in buckets by key.
 QUERIES["reconciliation_bucketed"] = lambda s, d: laid_out(lineitem_diff(s, d), shared_folder(s), 8).summary()
 SQL["reconciliation_bucketed"] = SQL["reconciliation"]
+
+
+def _one_sided_sql(moved: str, both: str) -> str:
+    return f"""
+SELECT count(*) AS source_total, count(*) FILTER (NOT {both}) AS target_total,
+  count(*) FILTER (NOT ({moved}) AND NOT {both}) AS matched_keys,
+  count(*) FILTER ({moved} OR {both}) AS source_only,
+  count(*) FILTER ({moved} AND NOT {both}) AS target_only FROM orders"""
+
+
+def _key_counts(diff):
+    return diff.totals().select("source_total", "target_total", "matched_keys", "source_only", "target_only")
+
+
+def _moments(s, d):
+    """Keys that are moments to the microsecond: one side as text, some a microsecond later, some gone."""
+    orders = seeds.table(s, d, "orders")
+    moment = F.timestamp_micros(F.col("o_orderkey") * 1_000_003 + F.lit(1_600_000_000_000_000)).cast("timestamp_ntz")
+    shift = F.when(seeds.every(6), F.expr("INTERVAL '0.000001' SECOND")).otherwise(F.expr("INTERVAL '0' SECOND"))
+    return keyed_diff(orders.select(moment.alias("at"), "o_orderstatus"),
+                      orders.where(~seeds.every(10)).select((moment + shift).cast("string").alias("at"), "o_orderstatus"), ["at"])
+
+
+def _decimals(s, d):
+    """Keys of 28 digits: decimals against text with separators, some with another last digit, some gone."""
+    orders = seeds.table(s, d, "orders")
+    whole = F.col("o_orderkey").cast("decimal(38,0)") * F.lit("1000000000000000000").cast("decimal(38,0)") + F.lit(7)
+    other = whole + F.when(seeds.every(6), 1).otherwise(0)
+    return keyed_diff(orders.select(whole.cast("decimal(38,2)").alias("id"), "o_orderstatus"),
+                      orders.where(~seeds.every(10)).select(F.concat(F.lit("$"), other.cast("string")).alias("id"), "o_orderstatus"),
+                      ["id"], norms={"id": Norm(kind="numeric")})
+
+
+QUERIES["diff_timestamp_keys"] = lambda s, d: _key_counts(_moments(s, d))
+QUERIES["diff_decimal_keys"] = lambda s, d: _key_counts(_decimals(s, d))
+SQL["diff_timestamp_keys"] = SQL["diff_decimal_keys"] = _one_sided_sql("o_orderkey % 6 = 0", "o_orderkey % 10 = 0")

@@ -86,6 +86,26 @@ def norm_datetime(s, d):
         "o_orderkey", nz.moment(F.col("v"), TEXT).cast("string").alias("day"))
 
 
+# Years 1 to 9999, a date of every month, in five ways to write it; every eleventh is none.
+_ANY_DAY = "make_date(1 + CAST(o_orderkey * 37 % 9999 AS INTEGER), 1 + CAST(o_orderkey % 12 AS INTEGER), 1 + CAST(o_orderkey % 28 AS INTEGER))"
+
+
+@query("norm_datetime_range", f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime({_ANY_DAY}, '%Y-%m-%d') END AS day FROM orders""")
+def norm_datetime_range(s, d):
+    key = F.col("o_orderkey")
+    year, month, day = (F.lpad((1 + x).cast("string"), n, "0") for x, n in (
+        (key * 37 % 9999, 4), (key % 12, 2), (key % 28, 2)))
+    names = F.array(*map(F.lit, "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()))
+    name = F.get(names, (key % 12).cast("int"))
+    ways = [F.concat_ws("-", year, month, day), F.concat_ws("/", month, day, year), F.concat(year, month, day),
+            F.concat_ws("-", day, name, year), F.concat(F.concat_ws("/", year, month, day), F.lit(" "))]
+    v = F.get(F.array(*ways), (key % 5).cast("int"))
+    v = F.when(key % 11 == 0, F.concat_ws("-", year, F.lit("13"), day)).otherwise(v)
+    return table(s, d, "orders").select("o_orderkey", v.alias("v")).select(
+        "o_orderkey", F.date_format(nz.moment(F.col("v"), TEXT), "yyyy-MM-dd").alias("day"))
+
+
 @query("norm_bool", f"""
 SELECT o_orderkey, CASE WHEN v IS NULL OR t = '' THEN NULL
   WHEN t IN ('true','t','yes','y','1','1.0') THEN 'true'

@@ -331,6 +331,22 @@ def documents(s, d):
     return flat.select("run_id", "member", F.col("name").alias("check_name"), "status", F.inline("evidence"))
 
 
+@query("history_streak_deep", """,
+numbered AS (SELECT run_id, suite, row_number() OVER (PARTITION BY suite ORDER BY started_at) AS no FROM counts),
+named AS (SELECT c.*, n.no, coalesce(rule_id, category || '|' || name || '|' || coalesce(target_table, '')) AS check_id
+  FROM checks c JOIN numbered n USING (run_id)),
+lasts AS (SELECT suite, no, check_id, max_by(status, position) IN ('FAIL', 'ERROR') AS bad FROM named GROUP BY 1, 2, 3),
+islands AS (SELECT suite, check_id, no, no - row_number() OVER (PARTITION BY suite, check_id ORDER BY no) AS island
+  FROM lasts WHERE bad),
+lengths AS (SELECT suite, check_id, no, row_number() OVER (PARTITION BY suite, check_id, island ORDER BY no) AS n FROM islands)
+SELECT f.run_id, f.suite, f.position, 1 + least(coalesce(b.n, 0), 500) AS streak FROM named f
+LEFT JOIN lengths b ON b.suite = f.suite AND b.check_id = f.check_id AND b.no = f.no - 1
+WHERE f.status IN ('FAIL', 'ERROR')""")
+def streak_deep(s, d):
+    """Streaks over five hundred runs back, told by where a run of failures began."""
+    return history.failures(checks(s, d), depth=500).select("run_id", "suite", "position", "streak")
+
+
 def _parts(s, d):
     """The history in three parts as it comes in: early runs, later ones, and runs that arrive late, out of order."""
     run = F.substring("run_id", 5, 20).cast("bigint")

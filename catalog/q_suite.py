@@ -78,6 +78,49 @@ QUERIES["check_isolation"] = lambda s, d: suite(s, d).run(
 
 
 
+def _same_id(s, d):
+    """Two rules under one id, each with a verdict of its own."""
+    rules = [{"rule_id": "B1", "target_table": "orders_dim", "rule_type": kind, "params": params} for kind, params in (
+        ("range", {"column": "o_totalprice", "min": 1}), ("not_null", {"column": "o_orderpriority"}))]
+    book = mapping_from_dict({"tables": [ORDERS], "business_rules": rules})
+    both = Suite(s, book, frames_connection({"orders_dim": seeds.orders_target(s, d)}))
+    return both.run(["business_rules"]).select(
+        "rule_id", "name", "status", F.col("metrics")["violations"].cast("bigint").alias("violations"))
+
+
+QUERIES["rule_same_id"] = _same_id
+SQL["rule_same_id"] = f"""WITH {seeds.ORDERS_PAIR_SQL},
+n AS (SELECT count(*) FILTER (o_totalprice IS NULL OR o_totalprice < 1) AS low,
+  count(*) FILTER ({seeds.sql_nullish('o_orderpriority')}) AS nulls FROM tgt)
+SELECT 'B1' AS rule_id, '[B1] range' AS name, CASE WHEN low > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+  low AS violations FROM n
+UNION ALL SELECT 'B1', '[B1] not_null', CASE WHEN nulls > 0 THEN 'FAIL' ELSE 'PASS' END, nulls FROM n"""
+
+
+def _absent(s, d):
+    """The type check of a feed in text that lacks a declared column."""
+    feed = seeds.orders_source(s, d).drop("o_custkey").withColumn(
+        "o_totalprice", F.when(seeds.every(41), F.lit("n.a.?")).otherwise(F.col("o_totalprice")))
+    book = mapping_from_dict({"tables": [ORDERS | {"target_table": "feed"}]})
+    found = Suite(s, book, frames_connection({"feed": feed})).run(["datatype"])
+    metric = lambda name: F.col("metrics")[name]
+    return found.select("status", *[metric(m).cast("bigint").alias(m) for m in ("typed_columns", "bad_columns", "bad_values")],
+                        metric("absent_columns").alias("absent_columns"),
+                        metric("bad:o_totalprice").cast("bigint").alias("bad_prices"))
+
+
+QUERIES["datatype_absent_column"] = _absent
+SQL["datatype_absent_column"] = f"""WITH {seeds.ORDERS_PAIR_SQL},
+v AS (SELECT CASE WHEN o_orderkey % 41 = 0 THEN 'n.a.?' ELSE o_totalprice END AS price, o_orderdate AS day FROM src),
+n AS (SELECT count(*) FILTER (NOT {seeds.sql_nullish('price')} AND {seeds.sql_number('price')} IS NULL) AS prices,
+  count(*) FILTER (NOT {seeds.sql_nullish('day')} AND {seeds.sql_day('day')} IS NULL) AS days FROM v),
+c AS (SELECT string_agg(c, ', ') AS absent FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('o_orderdate')) t(c)
+  WHERE c NOT IN (SELECT column_name FROM (DESCRIBE SELECT * EXCLUDE (o_custkey) FROM orders)))
+SELECT CASE WHEN prices + days > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(3 AS BIGINT) AS typed_columns,
+  CAST((prices > 0)::INT + (days > 0)::INT AS BIGINT) AS bad_columns, prices + days AS bad_values,
+  absent AS absent_columns, nullif(prices, 0) AS bad_prices FROM n, c"""
+
+
 def _samples(s, d):
     """Sample rows that a run leaves beside its history: of each failed rule at most a hundred."""
     folder = shared_folder(s)

@@ -351,6 +351,24 @@ def zero_vs_null_rows(source: DataFrame, target: DataFrame, keys: Sequence[str],
         *[F.col(i).alias(k) for i, k in zip(ids, keys)], "column")
 
 
+def zeros_for_nulls(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                    norms: Mapping[str, Norm] | None = None) -> DataFrame:
+    """One row: ``null_source_zero_target``, the target cells that are zero where the source has null."""
+    if not keys or not [c for c in columns if c in source.columns and c in target.columns]:
+        return target.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("null_source_zero_target"))
+    return _zeros_met(source, target, keys, columns, norms).agg(
+        F.coalesce(F.sum("z"), F.lit(0)).alias("null_source_zero_target"))
+
+
+def _zeros_met(source, target, keys, columns, norms) -> DataFrame:
+    """Key, column and number ``z`` of target rows that are zero where a source row of the key has null."""
+    nulls, zeros = _zero_null_sides(source, target, keys, columns, norms)
+    return (zeros.withColumn("z", F.lit(1)).withColumn("n", F.lit(0))
+            .unionByName(nulls.withColumn("z", F.lit(0)).withColumn("n", F.lit(1)))
+            .groupBy(*zeros.columns).agg(F.sum("z").alias("z"), F.max("n").alias("n"))
+            .where("n = 1 AND z > 0").drop("n"))
+
+
 def zero_vs_null(source: DataFrame | None, target: DataFrame, keys: Sequence[str],
                  columns: Sequence[str], norms: Mapping[str, Norm] | None = None) -> DataFrame:
     """Zeros and nulls per target column, and zeros whose source value is null."""
@@ -369,11 +387,7 @@ def zero_vs_null(source: DataFrame | None, target: DataFrame, keys: Sequence[str
     if source is not None:
         shared = [c for c in present if c in source.columns]
         if shared and keys:
-            nulls, zeros = _zero_null_sides(source, target, keys, shared, norms)
-            met = (zeros.withColumn("z", F.lit(1)).withColumn("n", F.lit(0))
-                   .unionByName(nulls.withColumn("z", F.lit(0)).withColumn("n", F.lit(1)))
-                   .groupBy(*zeros.columns).agg(F.sum("z").alias("z"), F.max("n").alias("n")))
-            bugs = met.where("n = 1 AND z > 0").select(
+            bugs = _zeros_met(source, target, keys, shared, norms).select(
                 "column", F.lit(0).cast("bigint").alias("target_zeros"),
                 F.lit(0).cast("bigint").alias("target_nulls"),
                 F.col("z").alias("null_source_zero_target"))
@@ -406,12 +420,18 @@ def sums_by_side(source: DataFrame, target: DataFrame,
         *[total(~F.col("in_source"), f"v{i}").alias(f"t{i}") for i in range(len(shared))]), shared
 
 
+def shared_columns(source: DataFrame, target: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that both sides have; it is an error if there are none."""
+    shared = [c for c in columns if c in source.columns and c in target.columns]
+    if not shared:
+        raise ValueError("numeric columns not present on both sides")
+    return shared
+
+
 def aggregate_variance(source: DataFrame, target: DataFrame, columns: Sequence[str],
                        threshold: float = VARIANCE_THRESHOLD) -> DataFrame:
     """Sums per numeric column on both sides and their relative difference."""
-    sums, shared = sums_by_side(source, target, columns)
-    if not shared:
-        raise ValueError("numeric columns not present on both sides")
+    sums, shared = sums_by_side(source, target, shared_columns(source, target, columns))
     def row(i: int, name: str) -> Column:
         s, t = F.col(f"s{i}"), F.col(f"t{i}")
         variance = relative_variance(s, t)

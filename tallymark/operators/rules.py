@@ -161,6 +161,26 @@ def group_rule(rule: Rule, df: DataFrame) -> DataFrame:
     return scoped.groupBy(*[nz.col(g) for g in groups]).agg(size.alias("n")).withColumn("bad", bad)
 
 
+def counted_groups(rule: Rule, df: DataFrame) -> list[str] | None:
+    """The columns by which a rule counts rows; None for a rule that counts distinct values instead."""
+    if rule.rule_type == "unique":
+        return _names(rule, df, "columns", "column")
+    if rule.rule_type == "split" and rule.params.get("type_column"):
+        return None
+    return _names(rule, df, "group_by")
+
+
+def group_counters(rule: Rule, here: Column, size: Column) -> dict[str, Column]:
+    """Aggregates of a rule over rows that are groups with their ``size`` where ``here`` holds."""
+    p = rule.params
+    bad = here & (size > 1 if rule.rule_type == "unique" else size < int(p.get("min_count", 2))
+                  if rule.rule_type == "split" else size != int(p.get("expect_count", 1)))
+    rows = size if rule.rule_type == "unique" else F.lit(1)
+    return {"groups": F.count_if(here), "bad_groups": F.count_if(bad),
+            "checked_rows": F.coalesce(F.sum(F.when(here, size)), F.lit(0)),
+            "violations": F.coalesce(F.sum(F.when(bad, rows)), F.lit(0)).cast("bigint")}
+
+
 def group_rule_totals(rule: Rule, df: DataFrame) -> DataFrame:
     """Groups, bad groups and, for ``unique``, the rows in them."""
     rows = F.col("n") if rule.rule_type == "unique" else F.lit(1)

@@ -105,8 +105,8 @@ def compared(diff: KeyedDiff, checks: Mapping[Head, Column],
 
 
 def fused(df: DataFrame, tallies: Mapping[Head, Tally],
-          offenders: Mapping[str, Callable[[], DataFrame]]) -> Planned:
-    """Checks counted together in one scan of a table."""
-    return Planned(tuple(tallies), tally_rows(df, list(tallies.values())),
-                   {h.name: (lambda t=t: tally_rows(df, [t])) for h, t in tallies.items()},
+          offenders: Mapping[str, Callable[[], DataFrame]], other: DataFrame | None = None) -> Planned:
+    """Checks counted together in one scan of a table, and one of the other side where they count that too."""
+    return Planned(tuple(tallies), tally_rows(df, list(tallies.values()), other),
+                   {h.name: (lambda t=t: tally_rows(df, [t], other)) for h, t in tallies.items()},
                    dict(offenders))

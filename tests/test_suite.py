@@ -303,3 +303,56 @@ def test_structure_names_the_row_gate(spark):
     mixed = report.line_up(["A", "b", "x"], ["a", "b", "y"], ["a", "b", "c"])
     assert (mixed.only_actual, mixed.only_expected) == (("x",), ("y",)) and len(mixed.hard) == 2
     assert mixed.soft[0] == "column case differs on ['a']"
+
+
+def test_a_table_is_read_at_most_six_times(spark):
+    """All counters of a pair share one scan a side, all groupings another; each table is told by a column of its own."""
+    from catalog import seeds
+    from catalog.q_suite import MAPPING
+    from tallymark.session import stored
+
+    sf_dir = "/root/testdata/sf0.001"
+    target = stored(seeds.orders_target(spark, sf_dir).withColumn("mark_target", F.lit(1)))
+    source = stored(seeds.orders_source(spark, sf_dir).withColumn("mark_source", F.lit(1)))
+    customers = stored(seeds.table(spark, sf_dir, "customer").withColumn("mark_customer", F.lit(1)))
+    suite = Suite(spark, MAPPING, frames_connection({"orders_dim": target, "customer_dim": customers}),
+                  frames_connection({"orders_feed": source, "customers": customers}))
+    plan = suite.plan()
+    assert len(plan.pieces) > 5
+    relations = [line for piece in plan.pieces
+                 for line in piece.rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line]
+    reads = {mark: sum(mark in line for line in relations) for mark in ("mark_target", "mark_source", "mark_customer")}
+    assert reads["mark_target"] <= 6 and reads["mark_source"] <= 5, reads
+    counters = [p for p in plan.pieces if any(h.name.startswith("Row count [orders") for h in p.heads)][0]
+    assert {"row_count", "datatype", "completeness", "null_handling", "reconciliation", "business_rules"} <= {
+        h.category for h in counters.heads}
+    groups = [p for p in plan.pieces if any(h.name.startswith("Deduplication [orders") for h in p.heads)][0]
+    assert {h.category for h in groups.heads} == {"row_count", "completeness", "business_rules", "deduplication"}
+
+
+def test_one_faulty_grouping_costs_the_others_nothing(spark):
+    """Groupings share a scan; a check that cannot be planned is an ERROR of its own."""
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, "a")], "id int, name string")
+    mapping = mapping_from_dict({"tables": [{
+        "target_table": "t", "source_object": "s", "key_columns": ["id"], "columns": [],
+        "options": {"group_by": "no_such", "completeness": [
+            {"column": "name", "expected_values": ["a", "z"], "forbidden_values": ["b"]},
+            {"column": "gone", "expected_values": ["a"]}, {"column": "id", "expected_values": [1, 2]}]}}],
+        "business_rules": [
+            {"rule_id": "U", "target_table": "t", "rule_type": "unique", "params": {"columns": ["id", "name"]}},
+            {"rule_id": "F", "target_table": "t", "rule_type": "unique", "params": {"columns": ["id"]}, "filter": "name = 'a'"},
+            {"rule_id": "C", "target_table": "t", "rule_type": "combine", "params": {"group_by": ["name"], "expect_count": 3}},
+            {"rule_id": "X", "target_table": "t", "rule_type": "unique", "params": {"columns": ["nope"]}}]})
+    suite = Suite(spark, mapping, frames_connection({"t": df}), frames_connection({"s": df}))
+    rows = {r.name: r for r in suite.run(["row_count", "completeness", "business_rules", "deduplication"]).collect()}
+    status = {name: r.status for name, r in rows.items()}
+    assert status == {
+        "Row count [t]": "PASS", "Row count by ['no_such'] [t]": "ERROR", "Mandatory completeness [t]": "SKIPPED",
+        "Completeness of name [t]": "FAIL", "Completeness of gone [t]": "ERROR", "Completeness of id [t]": "FAIL",
+        "[U] unique": "FAIL", "[F] unique": "FAIL", "[C] combine": "FAIL", "[X] unique": "ERROR", "Deduplication [t]": "FAIL"}
+    assert rows["Completeness of name [t]"].metrics == {"missing": "1", "intruders": "1", "distinct_present": "2",
+                                                        "missing_values": "z", "forbidden_values": "b"}
+    assert rows["Completeness of id [t]"].metrics["missing_values"] == "2"
+    assert rows["Deduplication [t]"].metrics == {"rows": "4", "duplicate_keys": "2", "duplicate_rows": "4"}
+    assert rows["[U] unique"].metrics == {"checked_rows": "4", "groups": "3", "bad_groups": "1", "violations": "2"}
+    assert rows["[C] combine"].metrics["bad_groups"] == "1"
