@@ -239,7 +239,7 @@ def snapshots(s, d):
     return base, now
 
 
-_SNAPSHOT_SQL = f"""WITH b AS (SELECT *, {YEAR} AS period FROM orders),
+SNAPSHOT_SQL = f"""WITH b AS (SELECT *, {YEAR} AS period FROM orders),
 n AS (SELECT CASE WHEN o_orderkey % 73 = 0 THEN o_orderkey + {seeds.FAR} ELSE o_orderkey END AS o_orderkey,
     o_custkey, CASE WHEN o_orderkey % 67 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
     CASE WHEN o_orderkey % 79 = 0 THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice,
@@ -261,7 +261,7 @@ c AS (SELECT (SELECT count(*) FROM j) AS matched_keys,
 VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
-@query("historical_immutability", _SNAPSHOT_SQL + _snapshot_metrics("WHERE period < 2000", "p + s") + """
+@query("historical_immutability", SNAPSHOT_SQL + _snapshot_metrics("WHERE period < 2000", "p + s") + """
 SELECT *, CASE WHEN value_mismatches + source_only = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def historical_immutability(s, d):
     base, now = snapshots(s, d)
@@ -269,7 +269,7 @@ def historical_immutability(s, d):
     return _metrics(diff, checks.immutability_verdict())
 
 
-@query("immutability_mixed_types", _SNAPSHOT_SQL + _snapshot_metrics("WHERE period < 2000", "p + s") + """
+@query("immutability_mixed_types", SNAPSHOT_SQL + _snapshot_metrics("WHERE period < 2000", "p + s") + """
 SELECT *, CASE WHEN value_mismatches + source_only = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def immutability_mixed_types(s, d):
     """The baseline's period is padded text, the current one's a number; both are before 2000 alike."""
@@ -279,7 +279,7 @@ def immutability_mixed_types(s, d):
     return _metrics(diff, checks.immutability_verdict())
 
 
-@query("incremental_delta", _SNAPSHOT_SQL + _snapshot_metrics("", "s") + """
+@query("incremental_delta", SNAPSHOT_SQL + _snapshot_metrics("", "s") + """
 SELECT *, CASE WHEN value_mismatches + source_only = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def incremental_delta(s, d):
     base, now = snapshots(s, d)
@@ -287,7 +287,7 @@ def incremental_delta(s, d):
     return _metrics(diff, checks.incremental_verdict())
 
 
-@query("cross_source", _SNAPSHOT_SQL + _snapshot_metrics("", "p + s") + """
+@query("cross_source", SNAPSHOT_SQL + _snapshot_metrics("", "p + s") + """
 SELECT *, CASE WHEN value_mismatches = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def cross_source(s, d):
     base, now = snapshots(s, d)
@@ -378,7 +378,8 @@ SELECT 'source' AS "column", count(*) FILTER (source IS NULL OR lower(trim(sourc
     ('', 'null', 'none', 'nan', 'na', 'n/a', '<null>', '(null)')) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM documents
 UNION ALL
-SELECT 'loaded', count(*) FILTER (doc_id % 19 = 0), count(*), 'FAIL' FROM documents""")
+SELECT 'loaded', count(*) FILTER (doc_id % 19 = 0), count(*),
+  CASE WHEN count(*) FILTER (doc_id % 19 = 0) = 0 THEN 'PASS' ELSE 'FAIL' END FROM documents""")
 def lineage_populated(s, d):
     documents = table(s, d, "documents").withColumn(
         "loaded", F.when(~every(19, "doc_id"), F.lit("2026-01-01")))
