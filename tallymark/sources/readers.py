@@ -149,8 +149,8 @@ def _reachable(path: str) -> bool:
     return True
 
 
-def headers(spark: SparkSession, pattern: str, encoding: str = "utf-8") -> DataFrame:
-    """``path``, ``tabs`` (a .tsv file) and ``header`` of every file of a path or glob that has a line.
+def headers(spark: SparkSession, pattern: str | list[str], encoding: str = "utf-8") -> DataFrame:
+    """``path``, ``tabs`` (a .tsv file) and ``header`` of every file of paths or a glob that has a line.
 
     Files are listed without their content; tasks then open each and read its first bytes. Only where the
     files lie in a store that Arrow cannot open are the lines of their first blocks looked through instead.

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.session import stored
+from tallymark.sources.readers import headers
 
 PREVIEW_ROWS = 500
 SAMPLE_ROWS = 100
@@ -88,17 +88,29 @@ def read_listing(spark: SparkSession, folder: str) -> DataFrame:
 def samples(spark: SparkSession, listing: Sequence[tuple], rows: int = SAMPLE_ROWS) -> DataFrame:
     """The first rows, by all columns, of every listed evidence file, each as JSON.
 
-    Files are read as text, and their rows are cut to ``rows`` inside the tasks before they are sorted out.
+    All files are read by place in one scan, whatever their columns; the names come from one look-up of their
+    headers. Tasks keep ``rows`` rows of a file each before these meet, so a huge file costs no more than a small one.
     """
-    frames = []
-    for entry in listing:
-        run_id, _, category, check, *_, path, _ = entry
-        found = spark.read.option("header", True).option("escape", '"').csv(path)
-        first = found.orderBy(*[F.col(f"`{c}`") for c in found.columns]).limit(rows)
-        frames.append(first.select(*[F.lit(v).alias(n) for n, v in (
-            ("run_id", run_id), ("category", category), ("check_name", check), ("path", path))],
-            F.to_json(F.struct("*")).alias("sample")))
-    return reduce(DataFrame.unionByName, frames)
+    told = spark.createDataFrame([(run, category, check, path, path.rstrip("/").rpartition("/")[2])
+                                  for run, _, category, check, *_, path, _ in listing],
+                                 "run_id string, category string, check_name string, path string, place string")
+    folders = list(dict.fromkeys(entry[6] for entry in listing))
+    found = headers(spark, folders)
+    commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
+    width = 1 + found.agg(F.coalesce(F.max(commas), F.lit(0))).first()[0]
+    cells, quoting = [f"_c{i}" for i in range(width)], {"escape": '"'}
+    schema = ", ".join(f"{c} string" for c in cells)
+    folder = F.element_at(F.split("path", "/"), -2)
+    names = F.from_csv("header", F.lit(schema), quoting)
+    names = F.array_compact(F.array(*[names[c] for c in cells]))
+    kinds = found.groupBy(folder.alias("place")).agg(F.min("header").alias("header")).select("place", names.alias("names"))
+    first = Window.partitionBy("place").orderBy(*cells)
+    lines = spark.read.schema(schema).option("header", True).options(**quoting).csv(folders)
+    lines = lines.select(*cells, F.element_at(F.split("_metadata.file_path", "/"), -2).alias("place"))
+    kept = lines.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= rows).join(kinds, "place")
+    shown = F.map_from_arrays("names", F.slice(F.array(*cells), F.lit(1), F.size("names")))
+    return kept.join(told, "place").select("run_id", "category", "check_name", "path", F.to_json(
+        F.map_filter(shown, lambda _, v: v.isNotNull())).alias("sample"))
 
 
 def write_samples(found: DataFrame, folder: str) -> None:
