@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import seeds
@@ -222,6 +223,28 @@ def evidence_sink(s, d):
     return s.read.parquet(folder).groupBy("check_name", "finding").agg(F.count("*").alias("rows"))
 
 
+@query("evidence_sorted", seeds.ORDERS_DIFF_SQL + """,
+f AS (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM d, (VALUES (0), (1), (2), (3), (4)) w(i)
+    WHERE list_extract([d0, d1, d2, d3, d4], i + 1)
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM su ANTI JOIN tu USING (o_orderkey)
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM tu ANTI JOIN su USING (o_orderkey)),
+k AS (SELECT o_orderkey, count(*) AS rows FROM f GROUP BY 1)
+SELECT o_orderkey, rows, sum(rows) OVER (ORDER BY o_orderkey) - rows AS first_place,
+  sum(rows) OVER (ORDER BY o_orderkey) - 1 AS last_place FROM k""")
+def evidence_sorted(s, d):
+    """Findings written in order over six files: where the rows of every key lie, counted over all files."""
+    folder = shared_folder(s)
+    sinks.in_order(orders_diff(s, d).findings(), ["o_orderkey"], 6).write.parquet(folder)
+    rows = s.read.parquet(folder).select("o_orderkey", F.col("_metadata.file_name").alias("file"),
+                                         F.col("_metadata.row_index").alias("at"))
+    files = rows.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    files = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("at")
+    return rows.join(files, "file").groupBy("o_orderkey").agg(
+        F.count("*").alias("rows"), F.min(place).alias("first_place"), F.max(place).alias("last_place"))
+
+
 @query("evidence_preview", seeds.ORDERS_DIFF_SQL + """,
 n AS (SELECT count(*) FILTER (d0) + count(*) FILTER (d1) + count(*) FILTER (d2) + count(*) FILTER (d3)
   + count(*) FILTER (d4) AS total FROM d)

@@ -60,6 +60,21 @@ def write_offenders(offenders: DataFrame, folder: str, format: str = "parquet")
     offenders.write.mode("append").partitionBy("check_name").format(format).save(folder)
 
 
+def in_order(df: DataFrame, by: Sequence[str], files: int | None = None) -> DataFrame:
+    """Rows in the order of ``by``, file after file of what is then written (names of files are in order too).
+
+    Cut points are sampled over the key, a hash of the row and its place, so the rows of one key, even wholly
+    equal ones, may fill several files and none holds much more than the others. Without ``files`` their number
+    follows the size.
+    """
+    ties = {"__hash": F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns]),
+            "__place": F.monotonically_increasing_id()}
+    order = [*[F.col(f"`{c}`") for c in by], *ties]
+    marked = df.withColumns(ties)
+    cut = marked.repartitionByRange(files, *order) if files else marked.repartitionByRange(*order)
+    return cut.sortWithinPartitions(*order).drop(*ties)
+
+
 def write_evidence(frames: Mapping[str, DataFrame], folder: str,
                    format: str = "csv") -> dict[str, tuple[str, int]]:
     """Offender frames of different shapes, each below its own name.

@@ -1,8 +1,11 @@
+import collections
 import csv
 import gzip
 import io
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.operators.checks import row_count
 from tallymark.sources import readers, sinks
@@ -166,3 +169,18 @@ def test_connections(spark, tmp_path):
     with pytest.raises(DatasetError):
         read(Dataset(table="a.csv"))
     assert connect(spark, {"type": "Files", "base_dir": str(tmp_path)})(Dataset(table="a.csv")).count() == 2
+
+
+def test_a_hot_key_fills_several_files_in_order(spark, tmp_path):
+    """A third of all rows under one key, half of these wholly equal: no file holds over twice the median."""
+    rows = spark.range(30_000).select(F.when(F.col("id") < 10_000, 15_000).otherwise(F.col("id")).alias("k"),
+                                      F.when(F.col("id") < 5_000, 0).otherwise(F.col("id")).alias("v"))
+    sinks.in_order(rows.repartition(5), ["k"], 9).write.parquet(str(tmp_path / "e"))
+    back = spark.read.parquet(str(tmp_path / "e")).select(
+        "k", "v", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    found = sorted(back.collect(), key=lambda r: (r.file, r["at"]))
+    assert [r.k for r in found] == sorted(r.k for r in found) and len(found) == 30_000
+    sizes = collections.Counter(r.file for r in found)
+    assert len(sizes) == 9 and max(sizes.values()) <= 2 * statistics.median(sizes.values())
+    assert len({r.file for r in found if r.k == 15_000}) >= 3
+    assert len({r.file for r in found if r.k == 15_000 and r.v == 0}) >= 2
