@@ -10,7 +10,7 @@ from catalog.q_diff import orders_diff
 from catalog.seeds import every, table
 from tallymark.operators.checks import row_count
 from tallymark.session import shared_folder
-from tallymark.sources import readers, sinks
+from tallymark.sources import profiles, readers, sinks
 from tallymark.sources.readers import Dataset
 from tallymark.spec import mapping_from_dict
 
@@ -223,6 +223,26 @@ def evidence_sink(s, d):
     return s.read.parquet(folder).groupBy("check_name", "finding").agg(F.count("*").alias("rows"))
 
 
+@query("profile_incremental", """
+SELECT count(*) AS rows, count(*) FILTER (l_orderkey % 7 = 0) AS null_flag, count(*) FILTER (l_returnflag = 'A' AND l_orderkey % 7 <> 0)
+    AS default_flag, count(*) FILTER (l_orderkey % 13 = 0) AS bad_quantity, CAST(sum(l_partkey) AS BIGINT) AS partkeys
+FROM lineitem""")
+def profile_incremental(s, d):
+    """Counters of a feed that came in three parts; each count reads only the files that are new."""
+    lines = table(s, d, "lineitem").select(
+        "l_orderkey", "l_partkey", F.when(~every(7, "l_orderkey"), F.col("l_returnflag")).alias("flag"),
+        F.when(every(13, "l_orderkey"), "many").otherwise(F.col("l_quantity").cast("string")).alias("quantity"))
+    feed, counters = shared_folder(s), profiles.column_counters(
+        lines, nulls=["flag"], kinds={"quantity": "numeric"}, defaults={"flag": "A"}, sums=["l_partkey"])
+    profile = profiles.FileProfile(s, feed, shared_folder(s), counters)
+    for part in range(3):
+        lines.where(F.col("l_orderkey") % 3 == part).write.mode("append").parquet(feed)
+        profile.refresh()
+    return profile.totals().select("rows", F.col("null:flag").alias("null_flag"), F.col("default:flag").alias("default_flag"),
+                                   F.col("bad:quantity").alias("bad_quantity"),
+                                   F.col("sum:l_partkey").cast("bigint").alias("partkeys"))
+
+
 @query("evidence_sorted", seeds.ORDERS_DIFF_SQL + """,
 f AS (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM d, (VALUES (0), (1), (2), (3), (4)) w(i)
     WHERE list_extract([d0, d1, d2, d3, d4], i + 1)
