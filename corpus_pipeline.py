@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tallymark.llm import minhash, mixing, packing, quality, toxicity
 from tallymark.llm.common import on_path, stored
 
+#: Percent of common five-word shingles from which two documents are near-duplicates here.
+SIMILARITY = 80
 #: The classifiers, packing and connected components have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -33,9 +35,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component."""
+    """One document of each component of texts that are SIMILARITY percent alike."""
     on_path(spark)
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

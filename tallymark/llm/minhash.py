@@ -1,6 +1,6 @@
 """Near-duplicates by MinHash: banded signatures, exact confirmation, alternating star contraction.
 
-Texts with equal word sequences are one node. A node's signature is the minima of many universal
+Texts with equal word sequences are one node, numbered when nodes are found. A node's signature is the minima of many universal
 hashes over its distinct word shingles; nodes that agree on a whole band are candidates. Within a
 bucket they first meet only a pivot, the same number of pairs as members. Links that the full sets
 confirm are contracted to components. Buckets that still hold several components then compare the
@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import BROADCAST_ROWS, slices, stored, words
@@ -118,8 +118,15 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-_MAPPED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sequence", pa.binary()),
-                     ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_MAPPED = pa.schema([("doc_id", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("n_shingles", pa.int64()),
+                     ("sequence", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+#: Two hashes of a text, which with the doc_id tell its rows.
+_TEXT_KEY = ("ka", "kb")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hashes of its texts."""
+    return docs.withColumns({k: F.xxhash64(F.lit(seed), "text") for seed, k in enumerate(_TEXT_KEY, 1)})
 
 
 def _signed(percent: int):
@@ -129,7 +136,7 @@ def _signed(percent: int):
     def work(batches):
         shingler = Shingler()
         for batch in batches:
-            ids, at = batch.column("doc_id"), 0
+            keys, at = [batch.column(c) for c in ("doc_id", *_TEXT_KEY)], 0
             for held in slices(batch.column("text")):
                 found = [words(t) for t in held]
                 sets = [shingler.fingerprints(w) for w in found]
@@ -137,7 +144,8 @@ def _signed(percent: int):
                 signatures = dict(zip(some, minima([sets[i] for i in some], bands * band_rows)))
                 rows = []
                 for i, (w, s) in enumerate(zip(found, sets)):
-                    row = {"doc_id": ids[at + i].as_py(), "n_shingles": len(s)}
+                    row = {"doc_id": keys[0][at + i].as_py(), "ka": keys[1][at + i].as_py(),
+                           "kb": keys[2][at + i].as_py(), "n_shingles": len(s)}
                     if i in signatures:
                         row |= {"sequence": hashlib.blake2b(b" ".join(w), digest_size=16).digest(),
                                 "signature": signatures[i].astype(np.uint8).tobytes(),
@@ -287,24 +295,40 @@ def _sized(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
 
 
+def _renamed(heads: DataFrame) -> DataFrame:
+    return heads.select(*[F.col(c).alias(f"h_{c}") for c in heads.columns])
+
+
+def _same_row() -> Column:
+    """Where a row has the id and the text of the one that stands for a node; rows that repeat wholly all do."""
+    return F.expr("doc_id <=> h_doc_id and ka = h_ka and kb = h_kb")
+
+
 class _Search:
     """The tables of one search: nodes, members of shared buckets, and full sets of those."""
 
-    def __init__(self, docs: DataFrame, percent: int):
+    def __init__(self, docs: DataFrame, percent: int, unnamed: bool = False):
+        """Texts of equal words are one node, whatever ids they have; with ``unnamed`` also those without an id."""
         self.percent = percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
         self.mapped = stored(self.docs.mapInArrow(
-            _signed(percent), "doc_id long, n_shingles long, sequence binary, signature binary, bands array<long>"))
-        some = self.mapped.where("doc_id is not null and n_shingles > 0")
-        self.classes = stored(some.groupBy("sequence").agg(F.min("doc_id").alias("node")))
-        heads = some.withColumnRenamed("doc_id", "node").join(self.classes.select("node"), "node", "left_semi")
-        self.nodes = stored(heads.select("node", "signature", "bands").dropDuplicates(["node"]))
+            _signed(percent), "doc_id long, ka long, kb long, n_shingles long, sequence binary, signature binary, "
+                              "bands array<long>"))
+        some = self.mapped.where("n_shingles > 0" if unnamed else "doc_id is not null and n_shingles > 0")
+        # the row of the smallest id stands for its node; an id with two texts is in two nodes
+        row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *_TEXT_KEY)
+        self.classes = stored(some.groupBy("sequence").agg(F.min(row).alias("head"))
+                              .select("sequence", "head.doc_id", *[f"head.{k}" for k in _TEXT_KEY],
+                                      F.monotonically_increasing_id().alias("node")))
+        heads = self.classes.select("node", "doc_id", *_TEXT_KEY, "sequence")
+        self.nodes = stored(some.drop("n_shingles").join(_renamed(heads), _same_row() & F.expr("sequence = h_sequence"))
+                            .select(F.col("h_node").alias("node"), "signature", "bands").dropDuplicates(["node"]))
         keys = self.nodes.select("node", F.explode("bands").alias("band"))
         buckets = stored(keys.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
                          .where("n > 1").select("band", "pivot"))
         self.members = stored(keys.join(_sized(buckets), "band"))
-        inside = stored(self.members.select("node").distinct())
-        texts = (self.docs.withColumnRenamed("doc_id", "node").join(_sized(inside), "node", "left_semi"))
+        inside = stored(heads.join(_sized(stored(self.members.select("node").distinct())), "node", "left_semi"))
+        texts = self.docs.join(_sized(_renamed(inside)), _same_row()).select(F.col("h_node").alias("node"), "text")
         self.sets = stored(texts.mapInArrow(_with_sets, "node long, shingles binary, low binary")
                            .dropDuplicates(["node"]))
         self.signatures = stored(self.nodes.select("node", "signature", "bands")
@@ -359,25 +383,31 @@ class _Search:
                       .applyInArrow(_crossed(self.percent), "a long, b long").distinct())
 
 
+def _found(search: _Search) -> DataFrame:
+    """node and component (its smallest node) of every node that has a link."""
+    pairs = (search.members.where("node != pivot")
+             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    links = search.confirmed(search.likely(pairs))
+    found = stored(components(links))
+    more = search.confirmed(search.cross_pairs(search.open_members(found)))
+    return found if more.isEmpty() else stored(components(links.unionByName(more)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Linked are texts with 100 * |intersection| >= percent * |union| of their shingle sets. Rows with
     NULL, empty or blank text have no shingles and are linked with nothing: each is its own
     component. A row with a NULL doc_id takes no part; its component is NULL and it is kept. Rows
-    that repeat a doc_id are one document: with equal texts they fall together, with different texts
-    one of these stands for the id. Only doc_id and text are read, so further columns cannot clash.
+    that repeat a doc_id are documents of their own: with equal texts they fall together, with different
+    texts each belongs where its text does. Only doc_id and text are read, so further columns cannot clash.
     """
     search = _Search(docs, percent)
-    pairs = (search.members.where("node != pivot")
-             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    links = search.confirmed(search.likely(pairs))
-    found = stored(components(links))
-    more = search.confirmed(search.cross_pairs(search.open_members(found)))
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(more)))
-    labelled = stored(search.classes.join(found, "node", "left")
-                      .select("sequence", F.coalesce("component", "node").alias("component_id")))
+    linked = stored(search.classes.join(_found(search), "node").select("sequence", "doc_id", "component"))
+    lowest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    together = linked.join(lowest, "component").select("sequence", "component_id")
+    labelled = stored(search.classes.select("sequence", "doc_id").join(together, "sequence", "left")
+                      .select("sequence", F.coalesce("component_id", "doc_id").alias("component_id")))
     some = search.mapped.select("doc_id", "n_shingles", "sequence")
     alone = some.where("doc_id is null or n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -388,6 +418,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those whose document is in the component of a smaller one."""
-    gone = stored(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
-    return docs.join(_sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of every component of near-duplicates, and all rows without a word.
+
+    The row of the smallest doc_id stays, a NULL one after all others; among rows that repeat its id and text,
+    one of the smallest hash of all columns. So copies go whatever ids they have, and a text that resembles no
+    other stays, also if its id has another text too. Reruns keep the same rows.
+    """
+    search = _Search(docs, percent, unnamed=True)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", *_TEXT_KEY, "sequence")
+    found = _found(search)
+    linked = stored(search.classes.join(found, "node"))
+    first = linked.groupBy("component").agg(F.min(rank).alias("first"))
+    beaten = linked.join(first, "component").where(rank != F.col("first")).select("sequence")
+    rows = search.mapped.where("n_shingles > 0").select("sequence", "doc_id", *_TEXT_KEY)
+    # of a node that stays, rows other than the one that stands for it go; of the others, all
+    held = search.classes.select("sequence", "doc_id", *_TEXT_KEY).join(beaten, "sequence", "left_anti")
+    counted = stored(rows.groupBy("sequence", "doc_id", *_TEXT_KEY).agg(F.count("*").alias("n")))
+    heads = _renamed(held)
+    stays = _same_row() & F.expr("sequence = h_sequence")
+    gone = stored(counted.join(heads, stays, "left_anti").select("doc_id", *_TEXT_KEY))
+    copied = stored(counted.where("n > 1").join(heads, stays, "left_semi").select("doc_id", *_TEXT_KEY))
+    mark = "__k"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    named = [f"{mark}{i}" for i in range(3)]  # names that no column of the input has
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(_row_key(), named)])
+
+    def met(table: DataFrame):
+        return _sized(table.toDF(*[f"{n}_" for n in named])), F.expr(" and ".join(f"`{n}` <=> `{n}_`" for n in named))
+
+    left = keyed.join(*met(gone), "left_anti")
+    if copied.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(*met(copied), "left_anti").select(*docs.columns)
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    one = (left.join(*met(copied), "left_semi").groupBy(*named)
+           .agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]), order).alias(mark))
+           .select(*[F.col(f"`{mark}`.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    return once.unionByName(one)
+
+
+def _row_key() -> list[Column]:
+    """doc_id and text hashes of a row."""
+    return [F.col("doc_id").cast("long"), *[F.xxhash64(F.lit(seed), "text") for seed in (1, 2)]]

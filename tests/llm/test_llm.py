@@ -120,6 +120,60 @@ def test_extract_takes_all_parts_of_a_split_article(tag, paragraphs):
     assert extract.main_text(page) == "\n\n".join([long.strip()] * paragraphs + [short, "The end."])
 
 
+ARTICLE = ["First, a paragraph of the article, long enough, with commas.", "Second, one more, of the same, kind."]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in ARTICLE)
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content has-sidebar", "content-sidebar-wrap", "no-comments post",
+                                  "header-fixed layout", "with-footer", "legal-news", "search-result-page",
+                                  "ad-free content", "page search", "widget"])
+def test_extract_keeps_an_article_in_a_wrapper_of_any_name(name):
+    page = (f"<body><nav><a>m</a></nav><div class='{name}'>{PARAGRAPHS}</div><div class='site-footer'>Imprint, contact.</div>"
+            "<div class='comments-area'><p>Nice.</p></div><div id=cookieNotice>We use cookies.</div></body>")
+    assert extract.main_text(page) == "\n\n".join(ARTICLE)
+
+
+def test_extract_reads_again_if_names_leave_nothing():
+    assert extract.main_text(f"<body><div class=sidebar>{PARAGRAPHS}</div></body>") == "\n\n".join(ARTICLE)
+
+
+def test_extract_leaves_comments_even_if_they_are_most_of_the_page():
+    page = f"<body><div>{PARAGRAPHS}</div><div class=comments>" + "<p>So nice, so very nice, indeed, it is.</p>" * 50
+    assert extract.main_text(page) == "\n\n".join(ARTICLE)
+
+
+def test_extract_leaves_bylines_and_notices_beside_the_article():
+    page = (f"<body><div>Posted by me</div><div>{PARAGRAPHS}</div><div>Copyright 2020 Someone</div>"
+            "<div>Some Company. All rights reserved.</div><div>The end.</div></body>")
+    assert extract.main_text(page) == "\n\n".join([*ARTICLE, "The end."])
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + PARAGRAPHS, "<div>x, y." * 100_000, "<div>" * 100 + "</p>" * 250_000, "<div>" * 100_000 + "</p>" * 100_000,
+    "<u><div>" + "<i>" * 50_000 + "</u>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000 + "</b>" * 50_000,
+    "<ul><li>" * 30_000 + "<li>" * 30_000, "<ul>" + "<li><a href=x>abc</a>" * 50_000, "<a" * 300_000, "<a '" * 100_000,
+    "<" * 300_000, "<!--" * 100_000, "<div " + "class=a " * 100_000 + ">x", "<table>" * 5000 + "<tr><td>x" * 5000],
+    ids=lambda page: page[:12])
+def test_extract_takes_deep_and_broken_pages_in_time(page):
+    """Quadratic work over any of these would take minutes."""
+    import time
+
+    started = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - started < 20
+    assert extract.main_text("<div>" * 100_000 + PARAGRAPHS) == "\n\n".join(ARTICLE)
+
+
+def test_extract_odd_tables(spark):
+    common.on_path(spark)
+    kind = "html string, extracted int, text string"
+    rows = extract.extract(spark.createDataFrame([(None, 1, "t"), ("", 1, "t"), ("<p>a</p>", 1, "t"), ("<p>a</p>", 1, "t")], kind))
+    assert sorted(r.extracted.text for r in rows.collect()) == ["", "", "a", "a"] and rows.columns == ["html", "extracted", "text"]
+    other = extract.extract(rows.drop("extracted").withColumn("extracted", rows.html), into="main")
+    assert other.columns == ["html", "text", "extracted", "main"] and other.count() == 4
+    assert extract.extract(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_extract_whole_table(spark, con):
     for page_id, _, text, n in QUERIES["op2_extract"](spark, SF_DIR).collect():
         page = con.execute("SELECT html FROM pages WHERE page_id = ?", [page_id]).fetchone()[0]
@@ -180,6 +234,48 @@ def test_toxicity_thresholds_come_from_all_labels(spark, monkeypatch):
     assert abs(model.thresholds[0] - toxicity._threshold(margins, 1 - toxic, toxic)) < 2 * toxicity.STEP
 
 
+def plain_margin(model, text):
+    """The forward pass word by word and filter by filter."""
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    vectors = [model.embed[list(toxicity.features(w))].sum(0).astype(float) for w in found]
+    value = model.out_bias
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = -np.inf
+            for start in range(max(1, len(vectors))):
+                total = 0.0
+                for k in range(width):
+                    at = toxicity._OFFSETS.index((width, k))
+                    if start + k < len(vectors):
+                        total += float(vectors[start + k] @ model.filters[at][:, f])
+                best = max(best, total)
+            unit = i * toxicity.FILTERS + f
+            value += max(best + float(model.filter_bias[unit]), 0) * float(model.out[unit])
+    return value
+
+
+def test_toxicity_forward_pass_against_plain_loops(con):
+    rows = con.execute("SELECT d.text, l.toxic, d.lang FROM documents d JOIN labels l USING (doc_id) ORDER BY doc_id").fetchall()
+    rows = [r for r in rows if r[0] and r[1] is not None]
+    model = toxicity.fit([r[0] for r in rows], np.array([float(r[1]) for r in rows]), [r[2] for r in rows])
+    scorer = toxicity.Scorer(model)
+    for text in [r[0] for r in rows if len(r[0]) < 2500][:15] + [None, "", "one", "one two", "12 34"]:
+        assert abs(scorer.margin_and_tongue(text)[0] - plain_margin(model, text)) < 1e-3
+
+
+def test_toxicity_thresholds_without_languages(spark, monkeypatch):
+    """Where no row names a language the threshold still comes from all labels, and an id labelled twice counts once."""
+    common.on_path(spark)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 20)
+    rows = [(i, " ".join(["calm", "fine", "good"] * (i % 5 + 1)) + " vile scum" * (i % 2), None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2, "doc_id long, toxic int")
+    seen, settle = [], toxicity._settle
+    monkeypatch.setattr(toxicity, "_settle", lambda *a: (seen.append(a[3].sum() + a[4].sum()), settle(*a)))
+    toxicity.fit_model(docs, labels)
+    assert seen[-1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_model(odd, labels)
@@ -197,6 +293,49 @@ def test_langid(spark, con, odd):
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in rows)
 
 
+def test_langid_learns_a_rare_language(spark):
+    """Four texts in Greek letters among 8,000 others; both texts held out are found."""
+    common.on_path(spark)
+    rows = [(i, f"the {'abcdef'[i % 6]} word of text {i} and more of it", "en" if i % 2 else "xx") for i in range(8000)]
+    rare = [(10_000 + i, "και η γλώσσα είναι άλλη από τις άλλες " * 3, "el") for i in range(12)]
+    table = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
+    got = langid.identified(table.where("doc_id >= 10000"), langid.fit_model(table), into="lang").collect()
+    assert {r["lang"].lang_pred for r in got} == {"el"}
+
+
+def plain_language(model, text):
+    """The forward pass window by window and position by position, without batches."""
+    probabilities, shares = [], []
+    cuts, share = langid.windows(text.encode())
+    for window, part in zip(cuts, share):
+        pooled = []
+        at = 0
+        for width in langid.WIDTHS:
+            best = np.full(langid.FILTERS, -np.inf)
+            for start in range(langid._STEPS):
+                total = sum(model.responses[window[start + k], (at + k) * langid.FILTERS:(at + k + 1) * langid.FILTERS].astype(float)
+                            for k in range(width))
+                best = np.maximum(best, total)
+            pooled += best.tolist()
+            at += width
+        active = np.maximum(np.array(pooled) + model.bias, 0)
+        scores = active @ model.weights.astype(float) + model.out_bias
+        probabilities.append(np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum())
+        shares.append(part)
+    mean = np.average(probabilities, axis=0, weights=shares)
+    return model.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_langid_forward_pass_against_plain_loops(docs):
+    texts = [(d[1], d[2]) for d in docs if d[1] and d[2] and len(d[1]) < 3000][:120]
+    model = langid.fit([t for t, _ in texts[:80]], [x for _, x in texts[:80]])
+    tried = [t for t, _ in texts[80:95]] + ["a", "kurz", "é" * 700]
+    got = list(zip(*langid.Scorer(model).many(tried)))
+    for text, (lang, score) in zip(tried, got):
+        want = plain_language(model, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+
+
 def test_langid_windows_hold_every_gram():
     data = bytes(range(256)) * 5
     cut, share = langid.windows(data)
@@ -272,6 +411,25 @@ def test_url_rules_and_vocabulary():
     assert (host[3], path[3], host[4], path[4]) == ("x.example.org", "/es/a", "org", "")
 
 
+def test_url_weights_add_up_over_different_terms():
+    judge = urlfilter._judge((urlfilter.RULES, urlfilter.Vocabulary()))
+    urls = {"http://b.net/casino/gratis": "allow", "http://b.net/casino?gratis=bonus": "block", "http://b.net/bonus-gratis": "allow",
+            "http://b.net/bonus-gratis-webcam": "block", "http://b.net/erotik/nackt": "block", "http://b.net/erotik/erotik": "allow",
+            "http://b.net/%63asino/p%6Fker": "block", "http://b.net/a%2Fxxx%2F": "block", "http://b.net/%C3%A9xxx": "allow",
+            "http://b.net/%": "allow", "http://b.net/" + "x" * 1_000_000 + "/porno": "block"}
+    assert dict(zip(urls, judge(list(urls))[3])) == urls
+
+
+def test_url_odd_tables(spark):
+    common.on_path(spark)
+    kind = "url string, judged int, path string"
+    table = spark.createDataFrame([(None, 1, "p"), ("", 1, "p"), ("http://xxx.net/" + "a" * 100_000, 1, "p"), (None, 1, "p")], kind)
+    rows = urlfilter.judge_urls(table).collect()
+    assert sorted((r.judged.verdict, len(r.judged.path), r.path) for r in rows) == [("allow", 0, "p")] * 3 + [("block", 100_001, "p")]
+    assert urlfilter.judge_urls(table, into="found").columns == ["url", "judged", "path", "found"]
+    assert urlfilter.judge_urls(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("scale", [256, 2 ** 28])
 def test_topk_against_brute_force(spark, scale):
     common.on_path(spark)
@@ -291,6 +449,14 @@ def test_topk_against_brute_force(spark, scale):
     assert topk.exact_top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e300, 1e12])
+def test_topk_refuses_scores_beyond_64_bits(spark, size):
+    common.on_path(spark)
+    table = spark.createDataFrame([(0, [size, 1.0]), (1, [size, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(table, table).collect()
+
+
 # near-duplicates
 
 def brute_components(rows, percent=85):
@@ -375,6 +541,27 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert sorted({r.doc_id for r in left.collect() if r.doc_id}) == ([1, 3, 4, 5, 6, 7] if rows else [])
 
 
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    """Rows that repeat, copies without an id, ids with two texts; a rerun over other partitions keeps the same rows."""
+    common.on_path(spark)
+    base = [f"w{i}" for i in range(60)]
+    text, near = " ".join(base), " ".join(base[:58] + ["x", "y"])  # 54 of 58 shingles: 0.93
+    other, third = " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(5, text, "a"), (5, text, "a"), (5, text, "b"), (9, text.upper(), "a"), (None, text, "a"), (7, near, "a"),
+            (3, other, "a"), (3, text, "a"), (None, third, "a"), (None, third, "a"), (None, third.upper(), "z"),
+            (8, "", "a"), (8, "", "a"), (None, None, "a"), (10, "a b", "a"), (11, "A  b", "a"), (12, "a b c", "a")]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, __k0 string, sequence int, ka int")
+    left = sorted(map(repr, minhash.deduplicated(table, 80).collect()))
+    kept = {(r[0], r[1].lower() if r[1] else r[1]) for r in minhash.deduplicated(table, 80).collect()}
+    assert kept == {(3, text), (3, other), (None, third), (8, ""), (None, None), (10, "a b"), (12, "a b c")}
+    assert len(left) == len(kept) + 1  # of the rows without a word all stay
+    assert left == sorted(map(repr, minhash.deduplicated(table.repartition(7), 80).collect()))
+    by = collections.defaultdict(set)
+    for r in minhash.near_duplicates(table).collect():
+        by[r.doc_id].add((r.component_id, r.kept))
+    assert by[3] == {(3, True)} and by[5] == by[7] == by[9] == {(3, False)} and by[None] == {(None, True)}
+
+
 # mixing and packing
 
 def test_mix_targets_and_copies(spark, odd):
@@ -449,7 +636,7 @@ def test_pipeline_stages(spark, docs):
     toxic, rated, unique, mixed = kept
     ids = {r.doc_id for r in rated[2]}
     assert all(plain_counts(r.text)[0] >= 50 for r in rated[2]) and len(ids) > 0.7 * len(rated[1])
-    parts = brute_components([(r.doc_id, r.text) for r in unique[1]])
+    parts = brute_components([(r.doc_id, r.text) for r in unique[1]], 80)
     assert {r.doc_id for r in unique[2]} == {i for i, (_, c) in parts.items() if i == c}
     assert {r.doc_id for r in mixed[2]} <= {r.doc_id for r in mixed[1]}
     rows = corpus_pipeline.pack(spark, frame, SF_DIR).collect()
