@@ -22,10 +22,15 @@ _BLOCKS = "__group int, ids binary, starts binary, dims binary, vals binary"
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component x taken as double; NULL if one is NULL or not finite."""
+    """floor(scale * x) of every component x taken as double; NULL if one is NULL or not finite.
+
+    A value that no 64-bit integer holds is an error, as it would be cut silently.
+    """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                       & (F.abs(x.cast("double")) != float("inf")))
-    return F.when(finite, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    too_large = F.raise_error(F.lit("a component is too large to be quantised to 64 bits")).cast("long")
+    return F.when(finite, F.transform(vector, lambda x: F.when(
+        F.abs(x.cast("double") * scale) < 2.0 ** 62, F.floor(x.cast("double") * scale)).otherwise(too_large)))
 
 
 def _packed(rows: list[tuple[int, list[int]]], group: int) -> dict:
@@ -85,6 +90,8 @@ def _accumulate(k: int):
         term_postings = postings(starts, dims, vals)
         limit = (int(np.abs(vals).max(initial=0)) * int(np.abs(qvals).max(initial=0))
                  * max(1, len(term_postings)))
+        if limit >= 2 ** 63:
+            raise ValueError("components are too large: an inner product could leave 64 bits")
         dense = np.int32 if limit < 2 ** 31 else np.int64
         term_postings = {t: (None if len(p) == len(ids) else p, v.astype(dense))
                          for t, (p, v) in term_postings.items()}
@@ -139,7 +146,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     Vectors that are NULL or hold a NULL or non-finite component, and rows without an id, take no
     part. Candidates with the query's own id are left out; rows that repeat an id with the same
     vector count once, with another vector they are candidates of their own. Missing components of a
-    shorter vector count as 0. Ties go to the smaller id. An empty table gives no rows.
+    shorter vector count as 0. Ties go to the smaller id. An empty table gives no rows. Finite components so
+    large that a score could leave 64 bits are an error.
     """
     def integers(df):
         return (df.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"))
