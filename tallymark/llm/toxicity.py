@@ -256,14 +256,14 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     learn = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     texts, y, _, languages = labelled_sample(docs, learn, "toxic", FIT_ROWS, FIT_CHARS)
     model = fit(texts, y, languages)
-    if model.languages or model.language_words is not None:
-        _calibrate_on_all(model, docs, learn)
+    _calibrate_on_all(model, docs, learn)
     return model
 
 
 def _calibrate_on_all(model: Model, docs: DataFrame, learn: DataFrame) -> None:
     """Thresholds from the margins of all labelled texts, of any length, as a histogram per guessed language."""
-    known = stored(learn.select("doc_id", F.col("toxic").cast("int").alias("__y")).where("__y in (0, 1)"))
+    known = stored(learn.select("doc_id", F.col("toxic").cast("int").alias("__y")).where("__y in (0, 1)")
+                   .groupBy("doc_id").agg(F.max("__y").alias("__y")))  # an id labelled twice counts once
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     payload = docs.sparkSession.sparkContext.broadcast(model)
     rows = (docs.select("doc_id", "text").where(F.length("text") > 0).join(known, "doc_id")
@@ -271,8 +271,11 @@ def _calibrate_on_all(model: Model, docs: DataFrame, learn: DataFrame) -> None:
                     .alias("__at"))
             .groupBy("__at.step", "__at.tongue").agg(F.sum(1 - F.col("__y")), F.sum("__y"))
             .collect())  # at most 2 * MOST / STEP + 1 rows per language
+    if not rows:
+        return
     steps, tongues, fine, toxic = (np.array(x) for x in zip(*map(tuple, rows)))
-    _settle(model, steps * STEP, tongues, fine, toxic)
+    if fine.sum() and toxic.sum():  # with one class there is nothing to tell apart
+        _settle(model, steps * STEP, tongues, fine, toxic)
 
 
 _MARGINS = {"step": pa.int64(), "tongue": pa.int64()}
