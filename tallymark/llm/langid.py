@@ -11,13 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import batch_column, fold_of
+from tallymark.llm.common import batch_column, fold_of, stored
 
-#: Texts that the fit takes at most in all, windows of each, and characters of a text it may have.
-FIT_ROWS, FIT_WINDOWS, FIT_CHARS = 1600, 3, 20_000
+#: Texts of a language that are learnt from, and of all languages: with many, each gets an equal part.
+LANGUAGE_ROWS, FIT_ROWS = 400, 20_000
+#: Windows of a text that are learnt from, and characters that such a text may have.
+FIT_WINDOWS, FIT_CHARS = 3, 20_000
 WINDOW, SIZE, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.05, 1e-4
 #: Windows that are scored at once.
@@ -186,13 +188,22 @@ def _slopes(x, y, weight, values):
 
 
 def fit_model(docs: DataFrame) -> Model:
-    """Fit on a bounded sample, by id hash, of rows with a language and crc32(doc_id as text) mod 3 not 1."""
+    """Fit on a bounded sample of rows with a language and crc32(doc_id as text) mod 3 not 1.
+
+    Of each language the LANGUAGE_ROWS texts of smallest id hash are taken (fewer if there are so many languages
+    that they would be more than FIT_ROWS in all), so a language is learnt however rare it is.
+    """
     known = (docs.select("doc_id", "text", "lang")
              .where((fold_of("doc_id", 3) != 1) & F.col("lang").isNotNull()
                     & F.length("text").between(1, FIT_CHARS) & F.col("text").rlike(r"\p{L}")))
-    chosen = (known.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(FIT_ROWS))
-    rows = (known.join(F.broadcast(chosen.distinct()), "doc_id")  # at most FIT_ROWS rows
-            .toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
+    ids = stored(known.select("doc_id", "lang").withColumn("__at", F.row_number().over(order))
+                 .where(F.col("__at") <= LANGUAGE_ROWS))
+    each = max(1, FIT_ROWS // max(1, ids.agg(F.countDistinct("lang")).first()[0]))
+    chosen = (ids.where(F.col("__at") <= each).select("doc_id").distinct()
+              .orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(FIT_ROWS))
+    rows = (known.join(F.broadcast(chosen), "doc_id")  # at most FIT_ROWS rows
+            .toPandas().sort_values(["doc_id", "text", "lang"]).drop_duplicates("doc_id"))
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
@@ -201,17 +212,18 @@ def _start(model):
     return lambda texts: scorer.many(texts)
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus a struct ``identified``: lang_pred and score (the mean window probability).
+def identified(docs: DataFrame, model: Model, into: str = "identified") -> DataFrame:
+    """``docs`` plus a struct ``into``: lang_pred and score (the mean window probability).
 
     A NULL text, and one without a letter, is ``und`` with score 0. Every byte of a text lies in a
-    window. Equal texts have equal answers; lang, source and ids are no inputs.
+    window. Equal texts have equal answers; lang, source and ids are no inputs. A column that is called like
+    ``into`` gives way to it.
     """
     payload = docs.sparkSession.sparkContext.broadcast(model)
-    found = docs.withColumn("__found", batch_column(
+    found = docs.withColumn(into, batch_column(
         F.col("text"), "lang_pred string, score double", {"lang_pred": pa.string(), "score": pa.float64()},
         _start, payload))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.withColumn("identified", F.struct(
-        F.when(letters, F.col("__found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(letters, F.col("__found.score")).otherwise(0.0).alias("score"))).drop("__found")
+    lang, score = F.col(f"`{into}`.lang_pred"), F.col(f"`{into}`.score")
+    return found.withColumn(into, F.struct(
+        F.when(letters, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(letters, score).otherwise(0.0).alias("score")))
