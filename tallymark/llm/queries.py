@@ -104,16 +104,15 @@ def op6_urls(table) -> DataFrame:
 
 
 def _url_sql() -> str:
-    hit = "CAST(regexp_matches(u, '(^|[^a-z0-9]){}([^a-z0-9]|$)') AS INT)"
-    strict = hit.format(f"({'|'.join(urlfilter.STRICT)})")
-    soft = " + ".join(hit.format(term) for term in urlfilter.SOFT)
+    hit = "{} * CAST(regexp_matches(u, '(^|[^\\pL\\pN]){}([^\\pL\\pN]|$)') AS INT)"
+    weight = " + ".join(hit.format(weight, term) for term, weight in urlfilter.WEIGHTS)
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-    WITH p AS (SELECT page_id, coalesce({lower.format('url')}, '') AS u,
+    WITH p AS (SELECT page_id, coalesce({lower.format('url_decode(url)')}, '') AS u,
                       coalesce({lower.format("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host,
                       coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    m AS (SELECT *, CASE WHEN {strict} >= 1 OR {soft} >= 2 THEN 'block' ELSE 'allow' END AS own FROM p),
+    m AS (SELECT *, CASE WHEN {weight} >= {urlfilter.LIMIT} THEN 'block' ELSE 'allow' END AS own FROM p),
     k(h, pre, v) AS (VALUES {rules})
     SELECT page_id, host, path, rule, coalesce(v, own) AS verdict FROM (
         SELECT m.*, h || pre AS rule, v,

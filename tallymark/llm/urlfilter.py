@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
@@ -15,11 +16,15 @@ from tallymark.llm.common import batch_column
 #: (host, path, verdict); a rule is written host + path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Terms of which one is enough, and terms of which several different ones are.
-STRICT = ("porn", "porno", "xxx", "xvideos", "hentai", "camgirls", "milf", "escorts", "warez", "keygen",
-          "torrents")
-SOFT = ("sex", "adult", "nude", "erotic", "casino", "poker", "betting", "jackpot", "viagra", "cialis",
-        "payday", "crack", "serial", "pills", "dating", "webcam")
+#: Terms in the pages' languages, by weight. One strict term is enough, two soft or three weak different ones are.
+LIMIT = 6
+STRICT = ("porn", "porno", "pornos", "xxx", "xvideos", "hentai", "camgirls", "milf", "escorts", "warez", "keygen",
+          "torrents", "pornographie", "pornografia", "sexfilme", "sexcams", "putas")
+SOFT = ("sex", "sexe", "sexo", "sexy", "nude", "nackt", "desnudas", "erotic", "erotik", "erotique", "erotico", "escort",
+        "casino", "poker", "betting", "wetten", "apuestas", "jackpot", "viagra", "cialis")
+WEAK = ("adult", "adulte", "adultos", "erwachsene", "dating", "webcam", "payday", "crack", "serial", "pills", "pillen",
+        "pilules", "pastillas", "lotto", "loterie", "loteria", "bonus", "gratis")
+WEIGHTS = tuple((term, weight) for terms, weight in ((STRICT, LIMIT), (SOFT, 3), (WEAK, 2)) for term in terms)
 
 _AFTER = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -27,14 +32,14 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Strict and soft terms, and how many different soft ones reject a URL.
+    """Terms with their weights, and the sum over different terms that rejects a URL.
 
-    Terms are lower-case ASCII letters and digits; a hit must be bounded by other characters.
+    Terms are lower-case letters and digits; a hit must be bounded by other characters. A term that weighs
+    ``limit`` is strict, any other soft.
     """
 
-    strict: tuple[str, ...] = STRICT
-    soft: tuple[str, ...] = SOFT
-    soft_hits: int = 2
+    weights: tuple[tuple[str, int], ...] = WEIGHTS
+    limit: int = LIMIT
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -49,21 +54,19 @@ def _judge(config):
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict, host + path))
     automaton = ahocorasick.Automaton()
-    for term in vocabulary.soft:
-        automaton.add_word(term, (term, False))
-    for term in vocabulary.strict:
-        automaton.add_word(term, (term, True))
+    for term, weight in vocabulary.weights:
+        automaton.add_word(term, (term, weight))
     automaton.make_automaton()
 
     def method(url: str) -> tuple[str, int, int]:
-        text, strict, soft = url.translate(_UPPER), set(), set()
-        for end, (term, hard) in automaton.iter(text):
+        text, hits = unquote(url).translate(_UPPER), {}
+        for end, (term, weight) in automaton.iter(text):
             start = end - len(term)
             around = (text[start] if start >= 0 else " ") + text[end + 1:end + 2]
-            if not any(c.isascii() and c.isalnum() for c in around):
-                (strict if hard else soft).add(term)
-        blocked = bool(strict) or len(soft) >= vocabulary.soft_hits
-        return "block" if blocked else "allow", len(strict), len(soft)
+            if not any(c.isalnum() for c in around):
+                hits[term] = weight
+        strict = sum(weight >= vocabulary.limit for weight in hits.values())
+        return "block" if sum(hits.values()) >= vocabulary.limit else "allow", strict, len(hits) - strict
 
     def work(urls):
         rows = []
@@ -82,16 +85,17 @@ def _judge(config):
 
 
 def judge_urls(pages: DataFrame, rules=RULES, vocabulary: Vocabulary = Vocabulary(),
-               url: str = "url") -> DataFrame:
-    """``pages`` plus a struct ``judged``: host, path, rule, verdict, strict_hits, soft_hits.
+               url: str = "url", into: str = "judged") -> DataFrame:
+    """``pages`` plus a struct ``into``: host, path, rule, verdict, strict_hits, soft_hits.
 
     A rule fits its host and every subdomain where the path starts with the rule's path; the longest
-    rule decides. Without one the vocabulary does: block on one strict term or on ``soft_hits``
-    different soft terms anywhere in the URL, each bounded by something other than an ASCII letter or
-    digit; repeats count once. A NULL or malformed URL has an empty host and path and fits no rule.
+    rule decides. Without one the vocabulary does: block if the weights of the different terms found
+    anywhere in the URL, percent signs decoded, reach its limit; each must be bounded by something other
+    than a letter or digit; repeats count once. A NULL or malformed URL has an empty host and path and fits
+    no rule. A column that is called like ``into`` gives way to it.
     """
     kind = "host string, path string, rule string, verdict string, strict_hits int, soft_hits int"
     fields = {"host": pa.string(), "path": pa.string(), "rule": pa.string(), "verdict": pa.string(),
               "strict_hits": pa.int32(), "soft_hits": pa.int32()}
     config = pages.sparkSession.sparkContext.broadcast((tuple(rules), vocabulary))
-    return pages.withColumn("judged", batch_column(F.col(url), kind, fields, _judge, config))
+    return pages.withColumn(into, batch_column(F.col(url), kind, fields, _judge, config))
