@@ -26,7 +26,7 @@ PRIOR = 1e-2
 THRESHOLD = 0.35
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 CACHE = 300_000
-#: Bytes whose n-grams are hashed at once.
+#: Characters whose n-grams are hashed at once.
 PIECE = 1 << 20
 
 _SYMBOLS = tuple(b"#*$%&|<>"[i:i + 1] for i in range(8))
@@ -100,13 +100,31 @@ def word_buckets(ids: np.ndarray, numbers: Numbers) -> np.ndarray:
 
 
 def char_buckets(data: bytes):
-    """Buckets of the byte n-grams, in pieces that bound the memory for a very long text."""
-    data = data.ljust(CHAR_N, b" ")
-    for lo in range(0, len(data) - CHAR_N + 1, PIECE):
-        piece = data[lo:lo + PIECE + CHAR_N - 1]
-        for k in range(min(4, len(piece) - 3)):
-            key = np.frombuffer(piece, "<u4", (len(piece) - k) // 4, k)
-            yield (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)
+    """Buckets of the n-grams of characters, in pieces that bound the memory for a very long text.
+
+    A character is a code point. One beyond ASCII is spread over 32 bits; four are laid over one another, each
+    turned by a byte more, which for ASCII is the text's own bytes, so these are not decoded.
+    """
+    if data.isascii():
+        data = data.ljust(CHAR_N, b" ")
+        for lo in range(0, len(data) - CHAR_N + 1, PIECE):
+            piece = data[lo:lo + PIECE + CHAR_N - 1]
+            for k in range(min(4, len(piece) - 3)):
+                yield _bucket(np.frombuffer(piece, "<u4", (len(piece) - k) // 4, k))
+        return
+    text = data.decode().ljust(CHAR_N)
+    for lo in range(0, len(text) - CHAR_N + 1, PIECE):
+        points = np.frombuffer(text[lo:lo + PIECE + CHAR_N - 1].encode("utf-32-le"), "<u4")
+        points = np.where(points < 128, points, points * np.uint32(0x85EBCA6B))
+        key = points[:len(points) - CHAR_N + 1].copy()
+        for k in range(1, CHAR_N):
+            part = points[k:k + len(key)]
+            key ^= (part << np.uint32(8 * k)) | (part >> np.uint32(32 - 8 * k))
+        yield _bucket(key)
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)
 
 
 @dataclass

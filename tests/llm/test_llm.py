@@ -363,6 +363,27 @@ def test_quality_counts_and_verdicts(spark, docs, con, odd):
     assert len(rows) == odd.count() and all(r.n_words == plain_counts(r.text)[0] for r in rows)
 
 
+def plain_char_buckets(text):
+    """Code point by code point: four of them, each turned by a byte more."""
+    text, out = text.ljust(4), collections.Counter()
+    for at in range(len(text) - 3):
+        key = 0
+        for k, c in enumerate(text[at:at + 4]):
+            point = ord(c) if ord(c) < 128 else ord(c) * 0x85EBCA6B % 2 ** 32
+            key ^= (point << 8 * k | point >> 32 - 8 * k) % 2 ** 32
+        out[(key * 0x9E3779B1 % 2 ** 32) >> 16] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 8])
+@pytest.mark.parametrize("text", ["a", "abc", "abcd", "plain text of ASCII only", "Größe, é́ und mehr", "字字字字字字字字字字",
+                                  "\U0001f600 a \U0001f601", "é"])
+def test_quality_grams_are_of_characters(monkeypatch, text, piece):
+    monkeypatch.setattr(quality, "PIECE", piece)
+    got = collections.Counter(int(x) for part in quality.char_buckets(text.encode()) for x in part)
+    assert got == plain_char_buckets(text)
+
+
 def test_quality_separates_held_out_labels(con):
     rows = con.execute("""SELECT d.text, l.quality FROM '/root/testdata/sf0.01/documents.parquet' d
                           JOIN '/root/testdata/sf0.01/labels.parquet' l USING (doc_id) ORDER BY doc_id""").fetchall()
