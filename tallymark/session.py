@@ -34,6 +34,12 @@ def build_session(app: str = "tallymark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it, whatever folder it runs in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 

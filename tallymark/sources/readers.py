@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.normalize import col
-from tallymark.session import stored
+from tallymark.session import importable, stored
 
 SOURCE_FILE = "__source_file"
 PART_TAG = "__sheet"
@@ -155,6 +155,7 @@ def headers(spark: SparkSession, pattern: str | list[str], encoding: str = "utf-
     Files are listed without their content; tasks then open each and read its first bytes. Only where the
     files lie in a store that Arrow cannot open are the lines of their first blocks looked through instead.
     """
+    importable(spark)
     try:
         files = spark.read.format("binaryFile").load(pattern)
         some = files._jdf.inputFiles()  # the listing that the driver has made; no job
