@@ -127,13 +127,16 @@ def pruned(diff: KeyedDiff, keep: Keep, unique_keys: bool = False, coarse: int =
     low = F.col("bucket") % coarse
     inside = low.isin(differing) if differing else F.lit(False)
     hashed, kinds = _hashed(diff, buckets)
-    hashed = hashed.where(inside) if unique_keys else hashed.where(inside | F.col("in_source"))
+    if unique_keys:
+        hashed = hashed.where(inside)
+    else:  # where a coarse bucket agrees only the source's keys are looked at, so nothing of its rows travels
+        hashed = hashed.where(inside | F.col("in_source")).withColumns(
+            {f"h{seed}": F.when(inside, F.col(f"h{seed}")) for seed in _SEEDS})
     # the low bits of the hash tell the leaf, so the high ones tell the keys in it
     mark = F.shiftright(F.col("key"), 32).cast("int") if leaf_rows <= NARROW_LEAF else F.col("key")
     more = [] if unique_keys else [F.size(F.collect_set(F.when(F.col("in_source"), mark))).alias("keys")]
     found = _digests(hashed, *more)
     if not unique_keys:
-        # in a coarse bucket that agrees only the source's keys were looked at
         found = found.withColumn("equal", (F.col("equal") | ~inside) & (F.col("keys") == F.col("s_0")))
     leaves = keep(found.select("bucket", "equal", "s_0", (low.isin(differing) if differing else F.lit(False)).alias("both"),
                                F.when(inside, F.col("t_0")).otherwise(F.col("s_0")).alias("t_0")))
