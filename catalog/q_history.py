@@ -325,8 +325,8 @@ def documents(s, d):
     folder = shared_folder(s)
     check = F.struct("position", "name", "category", "target_table", "status", "severity", "message", "rule_id",
                      _files().alias("evidence"))
-    (checks(s, d).groupBy("member", "run_id", "suite").agg(F.sort_array(F.collect_list(check)).alias("checks"))
-     .withColumn("of_run", F.col("run_id")).write.partitionBy("member", "of_run").json(folder))
+    sinks.write_run_documents(checks(s, d).groupBy("member", "run_id", "suite").agg(
+        F.sort_array(F.collect_list(check)).alias("checks")), folder)
     flat = history.checks_of_documents(sinks.read_run_documents(s, folder))
     return flat.select("run_id", "member", F.col("name").alias("check_name"), "status", F.inline("evidence"))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.session import stored
-from tallymark.sources.readers import headers
+from tallymark.session import importable, stored
+from tallymark.sources.readers import _reachable, headers
 
 PREVIEW_ROWS = 500
 SAMPLE_ROWS = 100
@@ -55,6 +57,11 @@ DOCUMENT_SCHEMA = T.StructType([
             T.StructField("rows", T.LongType())])))])))])
 
 
+# Folders of writers are named as Spark names those of partitions.
+_NO_WRITER = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
 def write_offenders(offenders: DataFrame, folder: str, format: str = "parquet") -> None:
     """Offender rows of many checks in one write, a folder per ``check_name``."""
     offenders.write.mode("append").partitionBy("check_name").format(format).save(folder)
@@ -162,6 +169,45 @@ def read_checks(spark: SparkSession, folder: str, format: str = "json") -> DataF
     return reader.format(format).load(folder).where("name IS NOT NULL").drop("day")
 
 
+def _to_files(folder: str, by: str):
+    """Writes each document to a file of its own; the file takes its name once it is whole."""
+    def work(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+
+        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        attempt, made = TaskContext.get().taskAttemptId(), set()
+        for batch in batches:
+            for writer, name, document in zip(*(batch.column(c).to_pylist() for c in ("writer", "name", "document"))):
+                at = f"{root}/{by}={_NO_WRITER if not writer else _ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', writer)}/{name[:2]}"
+                if at not in made:
+                    files.create_dir(at, recursive=True)
+                    made.add(at)
+                with files.open_output_stream(pending := f"{at}/_{name}.{attempt}") as out:
+                    out.write(document.encode())
+                files.move(pending, f"{at}/{name}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["written"])
+
+    return work
+
+
+def write_run_documents(documents: DataFrame, folder: str, by: str = "member") -> None:
+    """Nested run documents, one JSON file per run, below a folder per writer, for :func:`read_run_documents`.
+
+    Tasks write the files themselves, named by a hash of the document and dealt to at most 256 folders a writer: the
+    folders to be made, committed and listed do not grow with the runs, and a task that runs twice writes the same
+    files again. Only where Arrow cannot open the store does Spark write them, with a folder per run.
+    """
+    if not _reachable(folder):
+        documents.withColumn("of_run", F.col("run_id")).write.partitionBy(by, "of_run").json(folder)
+        return
+    importable(documents.sparkSession)
+    document = F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != by]))
+    told = documents.select(F.col(by).cast("string").alias("writer"), document.alias("document"))
+    (told.select("writer", F.sha2("document", 256).alias("name"), "document")
+     .mapInArrow(_to_files(folder, by), "written long").agg(F.sum("written")).first())
+
+
 def read_run_documents(spark: SparkSession, pattern: str) -> DataFrame:
     """Nested run documents, one JSON file per run; unreadable files are skipped.
 

@@ -1,8 +1,12 @@
+import os
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.operators import history
+from tallymark.session import shared_folder
 from tallymark.sources import sinks
 
 SCHEMA = ("run_id string, suite string, started_at string, position long, category string, "
@@ -93,6 +97,28 @@ def test_run_documents_of_several_writers(spark, tmp_path):
         ("x", "p", 3), ("x", "p", 3), ("y", "q", None), ("y", "q", None)]
 
 
+@pytest.mark.parametrize("reached", [True, False])
+def test_run_documents_are_dealt_to_few_folders(spark, monkeypatch, reached):
+    """A file per run, in folders whose number does not grow with the runs; a second write changes nothing."""
+    if not reached:
+        monkeypatch.setattr(sinks, "_reachable", lambda folder: False)
+    runs = 700 if reached else 20
+    check = F.struct(F.lit("n").alias("name"), F.col("id").cast("string").alias("status"))
+    docs = spark.range(runs).select(
+        F.get(F.array(F.lit("a b"), F.lit("c=d/é%"), F.lit(None)), (F.col("id") % 3).cast("int")).alias("member"),
+        F.concat(F.lit("r/ü:"), "id").alias("run_id"), F.array(check, check).alias("checks"))
+    folder = shared_folder(spark)
+    for _ in range(2 if reached else 1):
+        sinks.write_run_documents(docs, folder)
+    files = [f"{at}/{f}" for at, _, names in os.walk(folder.removeprefix("file://")) for f in names if f.endswith(".json")]
+    assert len(files) == runs
+    if reached:
+        assert max(Counter(f.split("/member=")[1].split("/")[0] for f in {os.path.dirname(f) for f in files}).values()) <= 256
+    back = history.checks_of_documents(sinks.read_run_documents(spark, folder)).select("member", "run_id", "position", "status")
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(
+        [(("a b", "c=d/é%", None)[i % 3], f"r/ü:{i}", at, str(i)) for i in range(runs) for at in (0, 1)], key=repr)
+
+
 def test_a_run_of_two_start_times_is_one_run(spark):
     checks = make(spark, [("s", [("a", "FAIL"), ("b", "FAIL")])] * 2)
     varied = checks.withColumn("started_at", history.F.concat("started_at", history.F.col("name")))
