@@ -41,6 +41,22 @@ def test_later_comparisons_shuffle_nothing_by_key(spark, text):
     assert not spark.catalog.tableExists("tallymark_test_layout_source")
 
 
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """A bucket is the work of one task, so a larger table has more of them, the same on both sides."""
+    monkeypatch.setattr("tallymark.operators.layout.BUCKET_ROWS", 100, raising=False)
+    source = spark.range(4000).select((F.col("id") % 3900).alias("k"), F.col("id").alias("v"))
+    diff = keyed_diff(source, source.where("v < 500"), ["k"])
+    folder = shared_folder(spark)
+    laid = laid_out(diff, folder, 5, "tallymark_test_rows")
+    counts = [spark.sql(f"DESCRIBE EXTENDED tallymark_test_rows_{side}").where("col_name = 'Num Buckets'").first()["data_type"]
+              for side in ("source", "target")]
+    assert counts == ["40", "40"]
+    assert max(r["n"] for r in laid.folded.source.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) < 200
+    assert "Exchange" not in laid.pairs._jdf.queryExecution().executedPlan().toString()
+    assert results(laid) == results(diff)
+    dropped(diff, folder, "tallymark_test_rows")
+
+
 def test_float_keys_keep_their_buckets(spark):
     rows = [(0.0, 1), (1.5, 2), (None, 3), (1e300, 4), (0.1, 5)]
     source = spark.createDataFrame(rows, "k double, v int")
