@@ -172,14 +172,21 @@ def capped_sample(s, d):
             return True
         return False
 
-    keys = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    parts = []
-    for cap in caps:
-        sample = readers.capped(lines, cap, allow_truncation=True)
-        known = sample.join(lines.select(keys.alias("key")).distinct(), keys == F.col("key"), "left_semi")
-        parts.append(sample.agg(F.count("*").alias("sampled"))
-                     .withColumns({"cap": F.lit(cap), "refused": F.lit(refused(cap)), "known": F.lit(known.count())}))
-    return readers.union_by_name(parts)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    sides = ["given", *(f"in_{cap}" for cap in caps)]
+
+    def marked(df, side: str):
+        return df.select(*keys, *[F.lit(int(side == x)).cast("bigint").alias(x) for x in sides])
+
+    # The table meets all samples in one shuffle; a sample leaves the one task that cut it before it is folded.
+    samples = [marked(readers.capped(lines, cap, allow_truncation=True).select(*keys).repartition(*keys), f"in_{cap}")
+               for cap in caps]
+    met = readers.union_by_name([marked(lines, "given"), *samples]).groupBy(*keys).agg(*[F.sum(x).alias(x) for x in sides])
+    told = met.agg(*[F.struct(
+        F.coalesce(F.sum(f"in_{cap}"), F.lit(0)).alias("sampled"), F.lit(cap).alias("cap"), F.lit(refused(cap)).alias("refused"),
+        F.coalesce(F.sum(F.when(F.col("given") > 0, F.col(f"in_{cap}"))), F.lit(0)).cast("int").alias("known")).alias(f"in_{cap}")
+        for cap in caps])
+    return told.select(F.inline(F.array(*sides[1:])))
 
 
 MAPPING = mapping_from_dict({"tables": [{

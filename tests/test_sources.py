@@ -184,3 +184,18 @@ def test_a_hot_key_fills_several_files_in_order(spark, tmp_path):
     assert len(sizes) == 9 and max(sizes.values()) <= 2 * statistics.median(sizes.values())
     assert len({r.file for r in found if r.k == 15_000}) >= 3
     assert len({r.file for r in found if r.k == 15_000 and r.v == 0}) >= 2
+
+
+def test_samples_meet_the_table_in_one_shuffle(spark, tmp_path):
+    """All samples are looked up in the table together, rows with equal or NULL keys among them."""
+    from catalog.q_sources import QUERIES
+
+    key = F.when(F.col("id") % 5 > 0, F.col("id") % 900)  # a fifth of the keys is NULL
+    rows = spark.range(1500).select(key.alias("l_orderkey"), *[F.col("id").alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")],
+                                    F.lit(None).cast("double").alias("l_extendedprice"))
+    rows.unionByName(rows.limit(40)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["capped_sample"](spark, str(tmp_path))
+    assert sorted((r.cap, r.sampled, r.refused, r.known) for r in found.collect()) == [
+        (1_000, 1_000, True, 1_000), (20_000, 1_540, False, 1_540), (10_000_000, 1_540, False, 1_540)]
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert plan.count("FileScan") == 4 and plan.count("ENSURE_REQUIREMENTS") - plan.count("SinglePartition") == 1
