@@ -9,8 +9,9 @@ a key may repeat, go into the comparison of keys and cells; the others are known
 A bucket is wrongly taken as equal only if both hash sums agree by chance beside the row counts: about
 2^-128 a bucket, so less than 2^-100 for any number of buckets that a job could have.
 
-Pruning pays where changes are few or lie together. With changes in every leaf it costs two narrow passes
-and the whole comparison runs; it then leaves the comparison as it is.
+Pruning pays where changes are few or lie together. With changes in every leaf the whole comparison runs. Where
+many coarse buckets differ, the leaves of some of them are therefore looked at first: if most of their rows lie in
+open leaves, it leaves the comparison as it is after one narrow pass and a look at a share of the rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ OPEN_LEAVES = 500_000
 NARROW_LEAF = 2048
 #: Share of all rows in open leaves from which pruning would save too little.
 WORTH = 0.5
+#: Coarse buckets whose leaves are looked at first, where at least PROBED times as many differ.
+PROBE, PROBED = 64, 16
 _SEEDS = 1, 7_919
 
 
@@ -125,6 +128,14 @@ def pruned(diff: KeyedDiff, keep: Keep, unique_keys: bool = False, coarse: int =
     leaf_rows = max(leaf_rows, leaf_rows // 4 * (rows // TASK_ROWS))
     buckets = coarse * max(1, -(-rows // (coarse * leaf_rows)))
     low = F.col("bucket") % coarse
+    if len(differing) >= PROBE * PROBED:
+        probed = _digests(_hashed(diff, buckets)[0].where(low.isin(differing[:PROBE])))
+        size = F.col("s_0") + F.col("t_0")
+        seen, seen_open, n_open = probed.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("equal"), size)), F.lit(0)),
+                                             F.count_if(~F.col("equal"))).first()
+        n_open = n_open * len(differing) // PROBE  # carried on to all that differ
+        if n_open > OPEN_LEAVES or seen_open * left > WORTH * rows * seen:
+            return replace(nothing, coarse_open=len(differing), leaves=buckets, leaves_open=n_open)
     inside = low.isin(differing) if differing else F.lit(False)
     hashed, kinds = _hashed(diff, buckets)
     if unique_keys:

@@ -84,6 +84,21 @@ def test_a_hot_key_opens_its_leaf_only(spark):
     assert found.diff.settled > 19_500 and found.diff.summary().first()["source_dup_keys"] == 1
 
 
+def test_changes_in_most_leaves_are_told_by_some_of_them(spark, monkeypatch):
+    """Where the leaves of a few coarse buckets show that pruning would not pay, those of the others are not made."""
+    from tallymark.operators import digests
+
+    monkeypatch.setattr(digests, "PROBE", 4, raising=False)
+    monkeypatch.setattr(digests, "PROBED", 3, raising=False)
+    source = spark.range(6000).select("id", F.concat(F.lit("v"), F.col("id") % 9).alias("v"))
+    for n, kept, settled in ((3, 1, 0), (120, 3, 4000)):  # changes in every leaf; in every coarse bucket, but few leaves
+        target = source.withColumn("v", F.when(F.col("id") % n == 0, "new").otherwise(F.col("v")))
+        whole, made = keyed_diff(source, target, ["id"]), []
+        found = pruned(whole, lambda df: (made.append(1), stored(df))[1], coarse=16, leaf_rows=16)
+        assert len(made) == kept and found.diff.settled >= settled and (settled or found.diff.settled == 0)
+        assert found.rows == 12_000 and found.coarse_open >= 12 and everything(found.diff) == everything(whole)
+
+
 SCRIPT = """
     import sys
     from pyspark.sql import functions as F
