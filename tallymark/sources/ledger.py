@@ -38,6 +38,8 @@ STATE = ("suite string, check_id string, run_id string, started_at string, statu
 FAILURE = ("run_id string, suite string, started_at string, position long, category string, name string, "
            "target_table string, status string, severity string, check_id string, label string, recurring boolean, "
            "streak long, version int")
+#: What a fold needs of a check row.
+_LOOKED_AT = ("run_id", "suite", "started_at", "position", "category", "name", "target_table", "status", "severity", "rule_id")
 _CHECKS = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in CHECK_SCHEMA)
 
 
@@ -157,11 +159,12 @@ class Ledger:
         before = (marked.where("not again").withColumn("back", F.row_number().over(back))
                   .where(F.col("back") <= self.depth).drop("back"))
         window = stored(marked.where("again").unionByName(before))
-        rows = stored(self.checks(window))
-        failed = stored(history.failures(rows, window, self.depth)
-                        .join(window.where("again").select("run_id"), "run_id", "left_semi"))
-        failed.withColumn("version", F.lit(version)).select(*[c.split()[0] for c in FAILURE.split(", ")]) \
-            .write.mode("overwrite").parquet(f"{self.folder}/failures/fold={version}")
+        rows = stored(self.checks(window).select(*_LOOKED_AT))
+        failures = f"{self.folder}/failures/fold={version}"
+        (history.failures(rows, window, self.depth).join(window.where("again").select("run_id"), "run_id", "left_semi")
+         .withColumn("version", F.lit(version)).select(*[c.split()[0] for c in FAILURE.split(", ")])
+         .write.mode("overwrite").parquet(failures))
+        failed = self.spark.read.schema(FAILURE).parquet(failures)
         window.where("again").select("run_id", F.lit(version).alias("version")) \
             .write.mode("overwrite").parquet(f"{self.folder}/revised/fold={version}")
         self._write_state(rows, failed, version)
@@ -171,10 +174,13 @@ class Ledger:
 
     def _write_state(self, rows: DataFrame, failed: DataFrame, version: int) -> None:
         """The last state laid under the checks that were looked at now."""
-        streaks = failed.groupBy("run_id", "check_id").agg(F.max("streak").alias("streak"))
-        listed = (rows.withColumn("check_id", history.check_id()).groupBy("suite", "check_id", "run_id", "started_at")
-                  .agg(F.max_by("status", "position").alias("status")))
-        latest = (listed.withColumn("suite", _suite()).join(streaks, ["run_id", "check_id"], "left")
+        # A check listed twice in a run counts by its last entry; only a row per suite and check leaves a task.
+        listed = rows.select(_suite().alias("suite"), history.check_id().alias("check_id"), "run_id", "started_at", "position",
+                             F.when(F.col("position").isNotNull(), F.col("status")).alias("status"))
+        last = F.max_by(F.struct("run_id", "started_at", "status"), F.struct("started_at", "run_id", "position"))
+        newest = listed.groupBy("suite", "check_id").agg(last.alias("s")).select("suite", "check_id", "s.*")
+        latest = (newest.join(failed.select("run_id", "check_id", "streak"), ["run_id", "check_id"], "left")
+                  .groupBy("suite", "check_id", "run_id", "started_at", "status").agg(F.max("streak").alias("streak"))
                   .select("suite", "check_id", "run_id", "started_at", "status",
                           F.when(history.failing(), F.col("streak")).alias("streak"), F.lit(version).alias("version")))
         order = F.struct("started_at", "run_id", "version")

@@ -76,6 +76,25 @@ def test_a_fold_reads_only_what_the_new_runs_hang_on(spark, monkeypatch):
     assert seen == [4]  # the new run and the three before it
 
 
+def test_a_fold_settles_its_rows_once_and_narrow(spark, monkeypatch):
+    """Only the columns that trends need are kept for a fold, and failures are written once; NULL positions have no say."""
+    runs, book = some_runs(5, 12), lg.ledger(spark, shared_folder(spark))
+    rows = frame(spark, runs.values()).withColumn("message", F.lit("long"))
+    rows = rows.withColumn("position", F.when((F.col("run_id") != "r0011") | (F.col("name") != "c0"), F.col("position")))
+    settled = []
+    monkeypatch.setattr(lg, "stored", lambda df: (settled.append(df.columns), stored(df))[1])
+    book.append(rows)
+    book.fold()
+    kept = [columns for columns in settled if "run_id" in columns]
+    assert len(kept) == 4 and not any({"message", "metrics", "use_case", "expected"} & {*columns} for columns in kept)
+    assert as_rows(book.failures(), *FAILED) == as_rows(history.failures(rows), *FAILED)
+    last = {}
+    for i in sorted(runs):
+        for run_id, suite, _, _, _, name, table, status, *_ in runs[i]:
+            last[suite or "", f"schema|{name}|{table}"] = (run_id, None if (run_id, name) == ("r0011", "c0") else status)
+    assert {(r.suite, r.check_id): (r.run_id, r.status) for r in book.state().collect()} == last
+
+
 def test_no_half_run_is_seen(spark, monkeypatch):
     runs, book = some_runs(2, 6), lg.ledger(spark, shared_folder(spark))
     assert book.runs().count() == book.checks().count() == book.failures().count() == 0 and book.fold() == 0
